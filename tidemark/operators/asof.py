@@ -87,6 +87,26 @@ def asof_join(
     return left.join(resolved, keys + [left_on], "left").select(*left.columns, *values.values())
 
 
+def last_known(df: DataFrame, keys: list[str], moment: str, order: list[str], value: str,
+               out: str) -> DataFrame:
+    """Add the last non-null ``value`` up to each row.
+
+    Rows of a key are cut into hours of ``moment``: the running value is found inside each hour and
+    the hours before contribute one row each, so a busy key is spread over many groups.
+    """
+    rows = df.withColumn("_hour", F.date_trunc("hour", moment))
+    known = F.when(F.col(value).isNotNull(), F.struct(*order))
+    per_hour = rows.groupBy(*keys, "_hour").agg(F.max_by(value, known).alias("_value"))
+    before = Window.partitionBy(*keys).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_hour.withColumn("_carry", F.last("_value", ignorenulls=True).over(before)) \
+        .drop("_value")
+    inside = Window.partitionBy(*keys, "_hour").orderBy(*order) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumn("_inside", F.last(value, ignorenulls=True).over(inside))
+    return found.join(carried, keys + ["_hour"]).withColumn(out, F.coalesce("_inside", "_carry")) \
+        .select(*df.columns, out)
+
+
 def _all_known(columns: list[str]) -> Column:
     condition = F.lit(True)
     for name in columns:

@@ -73,7 +73,8 @@ def insert_absent(base: DataFrame, rows: DataFrame, keys: list[str]) -> DataFram
 
 
 def month_of(column: str = "date") -> Column:
-    return F.date_format(column, "yyyy-MM")
+    """Partition value such as 200111, which reads back as the same integer."""
+    return F.year(column) * 100 + F.month(column)
 
 
 def write_partitioned(df: DataFrame, path: str, partition: str, mode: str = "overwrite") -> None:
