@@ -217,15 +217,16 @@ def insert_absent(spark, d):
 
 @query
 def replace_day(spark, d):
+    """Month-end reports of the five dearest tickers; the last year's are replaced by two."""
     b = V.bars(spark, d).select(F.col("date").alias("calc_date"), "ticker", "close")
-    top = R.top_per_group(b, ["calc_date"], [F.col("close").desc(), F.col("ticker")], 5)
+    ends = b.groupBy(U.month_of("calc_date").alias("m")).agg(F.max("calc_date").alias("calc_date"))
+    b = b.join(ends.select("calc_date"), "calc_date", "left_semi")
+    top = stage(R.top_per_group(b, ["calc_date"], [F.col("close").desc(), F.col("ticker")], 5), "days")
     path = new_path(spark, "daily")
-    days = stage(top, "days")
-    U.replace_day(days.where(F.year("calc_date") == 2001), path, "calc_date")
-    again = days.where((F.year("calc_date") == 2001) & (F.col("rank") <= 2)
-                       & (F.month("calc_date") >= 6))
-    U.replace_day(again, path, "calc_date")
-    return spark.read.schema(days.schema).parquet(path)
+    U.replace_day(top, path, "calc_date")
+    U.replace_day(top.where((F.year("calc_date") == last_day(spark, d).year) & (F.col("rank") <= 2)),
+                  path, "calc_date")
+    return spark.read.schema(top.schema).parquet(path)
 
 
 @query

@@ -106,6 +106,6 @@ def upsert_table(spark: SparkSession, path: str, delta: DataFrame, keys: list[st
 
 
 def replace_day(df: DataFrame, path: str, day_column: str) -> None:
-    """Replace the days present in ``df`` in a table partitioned by day."""
-    (df.write.option("partitionOverwriteMode", "dynamic").mode("overwrite")
+    """Replace the days present in ``df`` (a short report each) in a table partitioned by day."""
+    (df.repartition(day_column).write.option("partitionOverwriteMode", "dynamic").mode("overwrite")
        .partitionBy(day_column).parquet(path))

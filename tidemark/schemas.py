@@ -7,8 +7,17 @@ from pyspark.sql import DataFrame, functions as F, types as T
 MONEY = T.DecimalType(18, 4)
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+TYPES = {
+    "string": T.StringType(), "date": T.DateType(), "timestamp": T.TimestampType(),
+    "double": T.DoubleType(), "int": T.IntegerType(), "bigint": T.LongType(),
+    "boolean": T.BooleanType(), "decimal(18,4)": MONEY, "array<string>": T.ArrayType(T.StringType()),
+}
+
+
+def _schema(fields: str) -> T.StructType:
+    """Layout from ``name type, name type``, without needing a session at import."""
+    pairs = [f.split() for f in fields.split(", ")]
+    return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in pairs])
 
 
 BARS = _schema(
