@@ -203,16 +203,16 @@ oracle("replace_day", [BARS, LAST], f"""SELECT {day('date', 'calc_date')}, ticke
     FROM bars WHERE date IN (SELECT max(date) FROM bars GROUP BY date_trunc('month', date))), last_day
   WHERE rank <= CASE WHEN year(date) = year(d) THEN 2 ELSE 5 END""")
 
-SHIFTED = """ev AS (SELECT event_id, ts - INTERVAL 9000 DAY AS at, user_id, event_type, value,
+SHIFTED = """ev AS (SELECT event_id, ts - INTERVAL 9000 DAY AS happened, user_id, event_type, value,
     'Brand#' || (user_id % 25 + 1) AS ticker FROM events)"""
 OPINIONS = SHIFTED + """,
-op0 AS (SELECT CAST(date_trunc('week', at) AS DATE) AS week, ticker,
+op0 AS (SELECT CAST(date_trunc('week', happened) AS DATE) AS week, ticker,
     CASE WHEN event_type IN ('click', 'error', 'purchase') THEN 'ranking' ELSE 'position' END AS type,
-    event_id, at, event_type FROM ev),
+    event_id, happened, event_type FROM ev),
 op AS (SELECT week, ticker, type, CASE WHEN event_id % 5 <> 0 THEN event_id % 20 + 1 END AS rank,
     CASE event_type WHEN 'click' THEN 'FORT' WHEN 'error' THEN 'MODÉRÉ' WHEN 'purchase' THEN 'FAIBLE'
       WHEN 'signup' THEN 'GARDER' ELSE 'VENDRE' END AS conviction,
-    CASE WHEN type = 'position' THEN 'position_auto' ELSE 'cron' END AS source, at AS generated_at,
+    CASE WHEN type = 'position' THEN 'position_auto' ELSE 'cron' END AS source, happened AS generated_at,
     coalesce(CASE WHEN event_id % 7 <> 0 THEN 'v' || (event_id % 3) END, '—') AS prompt_version,
     'm' || (event_id % 2) AS model
   FROM op0 QUALIFY row_number() OVER (PARTITION BY week, ticker, type ORDER BY event_id DESC) = 1)"""
@@ -374,11 +374,11 @@ oracle("sector_ffill", [BARS, FORCE, INSTR, CHOSEN, CARRIED], f"SELECT ticker, {
 oracle("sector_force_priority", [BARS, FORCE, INSTR, _sector_ok("sok", "bars", "date")],
        f"SELECT ticker, {day('date')}, sector_ok AS in_force FROM sok")
 LOG = SHIFTED + """,
-log AS (SELECT e.event_id AS id, e.ticker, CAST(e.at AS DATE) AS date, e.value > 50 AS signal,
+log AS (SELECT e.event_id AS id, e.ticker, CAST(e.happened AS DATE) AS date, e.value > 50 AS signal,
     CASE event_type WHEN 'click' THEN 'SUGGESTION' WHEN 'purchase' THEN 'SUGGESTION' WHEN 'error' THEN 'REJETÉ_ML'
       WHEN 'signup' THEN 'REJETÉ_NLP' ELSE 'IGNORÉ' END AS decision, e.value AS price_j0,
     b.adj_close AS price_j10, round((b.adj_close - e.value) / nullif(e.value, 0) * 100, 2) AS result_pct
-  FROM ev e LEFT JOIN bars b ON b.ticker = e.ticker AND b.date = CAST(e.at AS DATE) + 10)"""
+  FROM ev e LEFT JOIN bars b ON b.ticker = e.ticker AND b.date = CAST(e.happened AS DATE) + 10)"""
 oracle("signal_result_j10", [BARS, LOG], f"""SELECT id, ticker, {day('date')}, price_j0, price_j10,
   {g('result_pct', 1)} FROM log""")
 oracle("portfolio_counts", [POSITIONS], """SELECT n_nationkey AS id, n_name AS name, TRUE AS active,
@@ -560,10 +560,11 @@ oracle("macro_status", [INDEX, MACRO], f"""SELECT zone, {day('date')}, price, {g
   FROM macro WHERE (zone, macro.date) IN (SELECT zone, max(date) FROM macro GROUP BY 1)""")
 oracle("sector_strength", [STRENGTH], f"""SELECT ticker_etf, {day('date')}, {g('ratio')}, {g('ratio_vs_ma50')}, in_force
   FROM strength""")
-INCREMENT = """cut AS (SELECT CAST(date_trunc('month', d) - INTERVAL 1 MONTH AS DATE) AS c FROM last_day),
+INCREMENT = """cut AS (SELECT CAST(date_trunc('month', d) - INTERVAL 1 MONTH AS DATE) AS c
+  FROM (SELECT max(CAST(o_orderdate AS DATE)) AS d FROM orders)),
 fresh AS (SELECT ticker_etf, date, close, adj_close + CASE WHEN date >= c THEN 1 ELSE 0 END AS adj_close, volume
   FROM ebars, cut)"""
-oracle("sector_strength_increment", [EBARS, INDEX, ETF, LAST, INCREMENT, _strength("st", "fresh")],
+oracle("sector_strength_increment", [EBARS, INDEX, ETF, INCREMENT, _strength("st", "fresh")],
        f"""SELECT ticker_etf, {day('date')}, adj_close, {g('ratio_vs_ma50')}, in_force FROM st, cut WHERE st.date >= c""")
 NEWEST = "(s.ticker_etf, s.date) IN (SELECT ticker_etf, max(date) FROM strength GROUP BY 1)"
 oracle("sectors_in_force", [STRENGTH], f"""SELECT e.sector, e.zone, s.ticker_etf, e.index_ticker, {day('s.date', 'date')},
@@ -701,8 +702,8 @@ oracle("positions_open", [BARS, LAST, POSITIONS, _analysis("a", "bars")], f"""SE
   ON l.ticker = p.ticker, last_day WHERE status = 'OUVERT'""")
 EVALUATED = [IND, FORCE, INSTR, MACRO, FX, POSITIONS, """lastind AS (SELECT * FROM ind WHERE next_date IS NULL)""",
              _sector_ok("ls", "lastind", "date"),
-             """mdate AS (SELECT min(x) AS at FROM (SELECT zone, max(date) AS x FROM macro GROUP BY 1)),
-regime AS (SELECT zone, arg_max(bull, date) AS macro_ok FROM macro, mdate WHERE date <= at GROUP BY 1),
+             """mdate AS (SELECT min(x) AS upto FROM (SELECT zone, max(date) AS x FROM macro GROUP BY 1)),
+regime AS (SELECT zone, arg_max(bull, date) AS macro_ok FROM macro, mdate WHERE date <= upto GROUP BY 1),
 lastfx AS (SELECT currency, arg_max(rate, date) AS rate FROM fx GROUP BY 1),
 pos0 AS (SELECT p.id, p.ticker, p.buy_date, CAST(p.buy_price AS DOUBLE) AS bp, CAST(p.quantity AS DOUBLE) AS q,
     CAST(round(p.quantity * p.buy_price, 2) AS DOUBLE) AS invested, CAST(p.invested_eur AS DOUBLE) AS invested_eur,
@@ -822,15 +823,15 @@ def _risk(text: str) -> str:
 def _summary(name: str, source: str, key: str) -> str:
     """Summaries line by line: first marker with any kept line."""
     return f"""{name} AS (
-  SELECT {key}, arg_min(s, pos) AS summary FROM (
-    SELECT {key}, pos, substr(string_agg(line, ' ' ORDER BY i), 1, 500) AS s FROM (
-      SELECT *, min(CASE WHEN stop THEN i END) OVER (PARTITION BY {key}, pos) AS cut FROM (
-        SELECT {key}, pos, i, trim(lines[i], {WS}) AS line, regexp_matches(trim(lines[i], {WS}),
+  SELECT {key}, arg_min(s, place) AS summary FROM (
+    SELECT {key}, place, substr(string_agg(line, ' ' ORDER BY i), 1, 500) AS s FROM (
+      SELECT *, min(CASE WHEN stop THEN i END) OVER (PARTITION BY {key}, place) AS cut FROM (
+        SELECT {key}, place, i, trim(lines[i], {WS}) AS line, regexp_matches(trim(lines[i], {WS}),
             '^(ANALYSE|\\*\\*|POUR|CONTRE|CONCLUSION)') AS stop
-        FROM (SELECT {key}, pos, string_split(trim(substr(text, instr(text, marker) + length(marker)), {WS}), chr(10)) AS lines
-          FROM {source}, (VALUES (1, 'RÉSUMÉ :'), (2, 'RÉSUMÉ:'), (3, 'RESUME :'), (4, 'RESUME:')) m(pos, marker)
+        FROM (SELECT {key}, place, string_split(trim(substr(text, instr(text, marker) + length(marker)), {WS}), chr(10)) AS lines
+          FROM {source}, (VALUES (1, 'RÉSUMÉ :'), (2, 'RÉSUMÉ:'), (3, 'RESUME :'), (4, 'RESUME:')) m(place, marker)
           WHERE contains(text, marker)) q, unnest(range(1, len(lines) + 1)) u(i)))
-    WHERE line <> '' AND (cut IS NULL OR i < cut) GROUP BY {key}, pos)
+    WHERE line <> '' AND (cut IS NULL OR i < cut) GROUP BY {key}, place)
   GROUP BY {key})"""
 
 

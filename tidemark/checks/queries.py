@@ -687,7 +687,8 @@ def sector_strength(spark, d):
 @query
 def sector_strength_increment(spark, d):
     b = V.etf_bars(spark, d)
-    cut = F.lit(last_day(spark, d).replace(day=1))
+    newest = V.index_bars(spark, d).agg(F.max("date")).first()[0]
+    cut = F.lit(newest.replace(day=1))
     stored, fresh = b.where(F.col("date") < cut), b.where(F.col("date") >= F.add_months(cut, -1)) \
         .withColumn("adj_close", F.col("adj_close") + 1)
     s = K.sector_strength(stored, V.sector_etf(spark, d), V.index_bars(spark, d), fresh)
