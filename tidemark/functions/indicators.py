@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, Window, WindowSpec, functions as F
 
 from tidemark import constants as C
+from tidemark.operators.sliding import Ladder
 
 BY_TICKER = Window.partitionBy("ticker").orderBy("date")
-WHOLE_TICKER = Window.partitionBy("ticker")
+# Ordered like BY_TICKER, so that both share one sort.
+WHOLE_TICKER = BY_TICKER.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def trailing(n: int, spec: WindowSpec = BY_TICKER) -> WindowSpec:
@@ -86,10 +88,31 @@ def signed_volume(price: Column, volume: Column) -> Column:
     return F.coalesce(F.signum(change(price)) * volume, F.lit(0.0))
 
 
-def trend_fit(log_price: Column, row: Column, n: int = C.MOMENTUM_WINDOW) -> Column:
-    """Share of variance of log prices explained by a straight line over the ``n`` bars before."""
-    fit = F.regr_r2(log_price, row).over(BY_TICKER.rowsBetween(-n, -1))
-    return F.when(row > n, fit)
+def log_price(price: Column) -> dict[str, Column]:
+    """Log price relative to the ticker's first bar (the shift keeps squares small), and how often
+    the price has changed so far."""
+    changed = F.coalesce((change(price) != 0).cast("int"), F.lit(0))
+    return {"_log": F.log(price / F.first(price).over(running())), "_changed": changed}
+
+
+def price_ladder() -> Ladder:
+    """Sums of price ``p``, log price ``y`` and its square, ready for means and line fits."""
+    y = F.col("_log")
+    return Ladder({"p": F.col("price"), "y": y, "yy": y * y}, BY_TICKER, C.MOMENTUM_WINDOW, aged=("y",))
+
+
+def changes_so_far() -> Column:
+    return F.sum("_changed").over(running())
+
+
+def trend_fit(ladder: Ladder, n: int = C.MOMENTUM_WINDOW) -> Column:
+    """Share of variance of log prices explained by a straight line over the ``n`` bars before.
+
+    A flat series has a fit of 1. Equal counts of price changes tell it exactly.
+    """
+    flat = previous(F.col("_changes"), 1) == previous(F.col("_changes"), n)
+    fit = ladder.line_fit("y", "yy", n, skip=1)
+    return F.when(fit.isNotNull(), F.when(flat, 1.0).otherwise(fit))
 
 
 def rate_of_change(price: Column, skip_last: bool, n: int = C.MOMENTUM_WINDOW) -> Column:

@@ -20,28 +20,28 @@ METRICS = list(C.SCORE_WEIGHTS)
 def ranking_indicators(bars: DataFrame, min_history: int = C.MIN_HISTORY) -> DataFrame:
     """Trend, momentum, volume and range per bar of tickers with enough history."""
     price = F.col("price")
-    row = F.col("seq") + 1
     b = L.bars_with_history(bars, min_history).withColumns({
         "price": F.col("adj_close"), "_vol": F.coalesce("volume", F.lit(0.0)),
     }).withColumns({
-        "seq": I.row_number() - 1, "_log": F.log("price"),
+        "seq": I.row_number() - 1, **I.log_price(price),
         "_signed": I.signed_volume(price, F.col("_vol")),
         "_tr": I.true_range(F.col("high"), F.col("low"), price,
                             I.has_high_low(F.col("high"), F.col("low"))),
         "_roc": I.rate_of_change(price, skip_last=False),
     })
-    b = b.withColumns({
-        "sma_200": I.rolling_mean(price, 200, 200, row),
-        "sma_150": I.rolling_mean(price, 150, 150, row),
-        "_fit": I.trend_fit(F.col("_log"), row),
-        "rvol": F.col("_vol") / (I.rolling_mean(F.col("_vol"), C.VOLUME_WINDOW, 1) + C.EPSILON),
-        "_obv": F.sum("_signed").over(I.running()),
-        "atr_14": I.rolling_mean(F.col("_tr"), C.ATR_WINDOW, 1),
-    })
-    return b.select(
-        "ticker", "date", "seq", "price", "sma_200", "sma_150",
-        (F.col("_roc") * F.col("_fit")).alias("mom_r2"), "rvol",
-        I.change(F.col("_obv"), C.OBV_SLOPE_WINDOW).alias("obv_slope"), "atr_14")
+    b = b.withColumn("_changes", I.changes_so_far())
+    ladder = I.price_ladder()
+    b = ladder.build(b.select("ticker", "date", "seq", "price", "_vol", "_log", "_signed", "_tr", "_roc", "_changes"))
+    b = b.select(
+        "ticker", "date", "seq", "price",
+        (ladder.total("p", 200) / 200.0).alias("sma_200"),
+        (ladder.total("p", 150) / 150.0).alias("sma_150"),
+        (F.col("_roc") * I.trend_fit(ladder)).alias("mom_r2"),
+        (F.col("_vol") / (I.rolling_mean(F.col("_vol"), C.VOLUME_WINDOW, 1) + C.EPSILON)).alias("rvol"),
+        F.sum("_signed").over(I.running()).alias("_obv"),
+        I.rolling_mean(F.col("_tr"), C.ATR_WINDOW, 1).alias("atr_14"))
+    return b.select("ticker", "date", "seq", "price", "sma_200", "sma_150", "mom_r2", "rvol",
+                    I.change(F.col("_obv"), C.OBV_SLOPE_WINDOW).alias("obv_slope"), "atr_14")
 
 
 def mondays(ind: DataFrame) -> DataFrame:

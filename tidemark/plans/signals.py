@@ -24,22 +24,27 @@ def raw_signals(bars: DataFrame, instruments: DataFrame | None = None,
     b = b.withColumns({
         "price": F.col("adj_close"), "_vol": F.coalesce("volume", F.lit(0.0)),
     }).withColumns({
-        "seq": I.row_number() - 1, "_log": F.log("price"),
+        "seq": I.row_number() - 1, **I.log_price(price),
         "_signed": I.signed_volume(price, F.col("_vol")),
         "_tr": I.true_range(F.col("high"), F.col("low"), price,
                             I.has_high_low(F.col("high"), F.col("low"))),
         "_roc": I.rate_of_change(price, skip_last=True),
+        "_sum": F.sum(price).over(I.running()),
     })
+    b = b.withColumn("_changes", I.changes_so_far())
+    ladder = I.price_ladder()
+    kept = ["ticker", "date", "seq", "price", "volume", "force_rel"]
+    b = ladder.build(b.select(*kept, "_vol", "_log", "_signed", "_tr", "_roc", "_sum", "_changes"))
+    # The long mean covers what there is until the window is full.
+    opening = F.col("_sum") / (F.col("seq") + 1)
+    b = b.select(
+        *kept, F.coalesce(ladder.total("p", 200) / 200.0, opening).alias("sma_200"),
+        (F.col("_roc") * I.trend_fit(ladder)).alias("mom_r2"),
+        (price >= F.max(price).over(I.trailing(C.BREAKOUT_WINDOW))).alias("breakout"),
+        (F.col("_vol") / (I.rolling_mean(F.col("_vol"), C.VOLUME_WINDOW, 1) + C.EPSILON)).alias("rvol"),
+        F.sum("_signed").over(I.running()).alias("_obv"),
+        I.rolling_mean(F.col("_tr"), C.ATR_WINDOW, 1).alias("atr_14"))
     b = b.withColumns({
-        "sma_200": I.rolling_mean(price, 200, 1),
-        "_fit": I.trend_fit(F.col("_log"), F.col("seq") + 1),
-        "breakout": price >= F.max(price).over(I.trailing(C.BREAKOUT_WINDOW)),
-        "rvol": F.col("_vol") / (I.rolling_mean(F.col("_vol"), C.VOLUME_WINDOW, 1) + C.EPSILON),
-        "_obv": F.sum("_signed").over(I.running()),
-        "atr_14": I.rolling_mean(F.col("_tr"), C.ATR_WINDOW, 1),
-    })
-    b = b.withColumns({
-        "mom_r2": F.col("_roc") * F.col("_fit"),
         "trend_ok": price > F.col("sma_200"),
         "rvol_high": F.col("rvol") > C.RVOL_THRESHOLD,
         "obv_rising": X.is_true(I.change(F.col("_obv"), C.OBV_SLOPE_WINDOW) > 0),
