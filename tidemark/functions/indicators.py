@@ -12,33 +12,38 @@ from pyspark.sql import Column, Window, WindowSpec, functions as F
 from tidemark import constants as C
 from tidemark.operators.sliding import Ladder
 
-BY_TICKER = Window.partitionBy("ticker").orderBy("date")
-# Ordered like BY_TICKER, so that both share one sort.
-WHOLE_TICKER = BY_TICKER.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
+def by_ticker() -> WindowSpec:
+    return Window.partitionBy("ticker").orderBy("date")
 
-def trailing(n: int, spec: WindowSpec = BY_TICKER) -> WindowSpec:
-    return spec.rowsBetween(1 - n, 0)
 
+def whole_ticker() -> WindowSpec:
+    """All rows of a ticker, ordered like ``by_ticker`` so that both share one sort."""
+    return by_ticker().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
-def running(spec: WindowSpec = BY_TICKER) -> WindowSpec:
-    return spec.rowsBetween(Window.unboundedPreceding, 0)
 
+def trailing(n: int, spec: WindowSpec | None = None) -> WindowSpec:
+    return (spec or by_ticker()).rowsBetween(1 - n, 0)
 
-def row_number(spec: WindowSpec = BY_TICKER) -> Column:
-    return F.row_number().over(spec)
 
+def running(spec: WindowSpec | None = None) -> WindowSpec:
+    return (spec or by_ticker()).rowsBetween(Window.unboundedPreceding, 0)
 
-def previous(column: Column, n: int = 1, spec: WindowSpec = BY_TICKER) -> Column:
-    return F.lag(column, n).over(spec)
 
+def row_number(spec: WindowSpec | None = None) -> Column:
+    return F.row_number().over(spec or by_ticker())
 
-def change(column: Column, n: int = 1, spec: WindowSpec = BY_TICKER) -> Column:
+
+def previous(column: Column, n: int = 1, spec: WindowSpec | None = None) -> Column:
+    return F.lag(column, n).over(spec or by_ticker())
+
+
+def change(column: Column, n: int = 1, spec: WindowSpec | None = None) -> Column:
     return column - previous(column, n, spec)
 
 
 def rolling_mean(column: Column, n: int, min_periods: int | None = None,
-                 row: Column | None = None, spec: WindowSpec = BY_TICKER) -> Column:
+                 row: Column | None = None, spec: WindowSpec | None = None) -> Column:
     """Mean of the last ``n`` rows, null below ``min_periods`` known values.
 
     ``row`` is the row number: pass it for a column without nulls, then no count is needed.
@@ -80,7 +85,7 @@ def true_range(high: Column, low: Column, price: Column, has_range: Column) -> C
 
 
 def has_high_low(high: Column, low: Column) -> Column:
-    return (F.count(high).over(WHOLE_TICKER) > 0) & (F.count(low).over(WHOLE_TICKER) > 0)
+    return (F.count(high).over(whole_ticker()) > 0) & (F.count(low).over(whole_ticker()) > 0)
 
 
 def signed_volume(price: Column, volume: Column) -> Column:
@@ -98,7 +103,7 @@ def log_price(price: Column) -> dict[str, Column]:
 def price_ladder() -> Ladder:
     """Sums of price ``p``, log price ``y`` and its square, ready for means and line fits."""
     y = F.col("_log")
-    return Ladder({"p": F.col("price"), "y": y, "yy": y * y}, BY_TICKER, C.MOMENTUM_WINDOW, aged=("y",))
+    return Ladder({"p": F.col("price"), "y": y, "yy": y * y}, by_ticker(), C.MOMENTUM_WINDOW, aged=("y",))
 
 
 def changes_so_far() -> Column:

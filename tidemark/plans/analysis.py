@@ -22,7 +22,7 @@ def indicators(bars: DataFrame) -> DataFrame:
     gain, loss = I.gain_loss(price)
     low_band, band_position = I.bollinger(price, row)
     b = L.with_adjusted(bars).withColumns({
-        "_row": I.row_number(), "_n": F.count(F.lit(1)).over(I.WHOLE_TICKER),
+        "_row": I.row_number(), "_n": F.count(F.lit(1)).over(I.whole_ticker()),
         "_gain": gain, "_loss": loss,
         "_tr": I.true_range(F.col("high"), F.col("low"), price,
                             I.has_high_low(F.col("high"), F.col("low"))),

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from tidemark import constants as C
 from tidemark.functions import indicators as I
 from tidemark.operators.asof import asof_join, latest_per_key, one_per_key
 
-BY_ZONE = Window.partitionBy("zone").orderBy("date")
-BY_ETF = Window.partitionBy("ticker_etf").orderBy("date")
+
+def series_of(key: str) -> WindowSpec:
+    return Window.partitionBy(key).orderBy("date")
 
 
 def zone_prices(index_bars: DataFrame, zones: dict[str, str] | None = None) -> DataFrame:
@@ -25,10 +26,10 @@ def macro_series(zone_bars: DataFrame, strict: bool = False) -> DataFrame:
 
     During warm-up ``bull`` is false, or null when ``strict``.
     """
-    known = zone_bars.where("adj_close IS NOT NULL").withColumn("row", I.row_number(BY_ZONE))
+    known = zone_bars.where("adj_close IS NOT NULL").withColumn("row", I.row_number(series_of("zone")))
     series = known.select(
         "zone", "index_ticker", "date", F.col("adj_close").alias("price"),
-        I.rolling_mean(F.col("adj_close"), 200, 200, F.col("row"), BY_ZONE).alias("sma_200"))
+        I.rolling_mean(F.col("adj_close"), 200, 200, F.col("row"), series_of("zone")).alias("sma_200"))
     above = F.col("price") > F.col("sma_200")
     return series.withColumn("bull", above if strict else F.coalesce(above, F.lit(False)))
 
@@ -72,13 +73,13 @@ def sector_strength(etf_bars: DataFrame, sector_etf: DataFrame, index_bars: Data
         bars = combine_history(etf_bars, incoming, ["ticker_etf", "date"]) \
             .join(fresh, ["ticker_etf", "date"], "left")
     joined = join_index(bars.where("adj_close > 0"), sector_etf, index_bars)
-    first = I.running(BY_ETF)
-    rebased = joined.withColumn("row", I.row_number(BY_ETF)).withColumn(
+    first = I.running(series_of("ticker_etf"))
+    rebased = joined.withColumn("row", I.row_number(series_of("ticker_etf"))).withColumn(
         "ratio",
         (F.col("adj_close") / F.first("adj_close").over(first))
         / (F.col("index_price") / F.first("index_price").over(first)))
     n = C.STRENGTH_WINDOW
-    scored = rebased.withColumn("_ma", I.rolling_mean(F.col("ratio"), n, n, F.col("row"), BY_ETF)) \
+    scored = rebased.withColumn("_ma", I.rolling_mean(F.col("ratio"), n, n, F.col("row"), series_of("ticker_etf"))) \
         .where("_ma IS NOT NULL").withColumn("ratio_vs_ma50", F.col("ratio") / F.col("_ma")) \
         .withColumn("in_force", F.col("ratio_vs_ma50") > 1.0)
     if incoming is not None:

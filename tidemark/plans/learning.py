@@ -33,7 +33,7 @@ MAX_SECTORS = 200
 
 def label(bars: DataFrame) -> DataFrame:
     """1 when the price ten bars later is at least 5% higher, else 0; null near the end."""
-    later = F.lead("adj_close", C.LABEL_HORIZON).over(I.BY_TICKER)
+    later = F.lead("adj_close", C.LABEL_HORIZON).over(I.by_ticker())
     rows = L.valid_bars(bars).withColumn("_later", later)
     return rows.select("ticker", "date", "adj_close", F.when(
         F.col("_later").isNotNull(),

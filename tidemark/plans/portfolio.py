@@ -139,6 +139,9 @@ def hybrid_backtest(ind: DataFrame, configs: list[Config], instruments: DataFram
     """Trades, weekly equity, weekly holdings and weekly log of every configuration."""
     spark = ind.sparkSession
     grid = config_frame(spark, configs)
+    # Read by several steps below: one row per sector, zone and day, and per zone and day.
+    force = None if force is None else stage(force, "force")
+    macro = None if macro is None else stage(macro, "macro")
     state = stage(market_state(ind, instruments, force, macro), "state")
     days = stage(timeline(state, grid), "days")
     rows = stage(weekly_candidates(state, grid, days), "weekly")

@@ -10,6 +10,7 @@ from tidemark import constants as C
 from tidemark.functions import scalars as X
 from tidemark.operators.asof import asof_join, last_known, latest_per_key
 from tidemark.plans import context, ranking
+from tidemark.session import stage
 
 TICKER_PATTERN = r"^[A-Z0-9.\-^]{1,15}$"
 MONEY = "decimal(18,4)"
@@ -140,6 +141,7 @@ def evaluate_positions(positions: DataFrame, ind: DataFrame, instruments: DataFr
                        force: DataFrame, macro: DataFrame, fx: DataFrame,
                        portfolio_id: int | None = None) -> DataFrame:
     """Open positions with result in quote currency and euro, trailing stop and five conditions."""
+    macro, fx = stage(macro, "macro"), stage(fx, "fx")
     rows = positions.where(F.col("status") == C.OPEN)
     if portfolio_id is not None:
         rows = rows.where(F.col("portfolio_id") == portfolio_id)
@@ -257,8 +259,9 @@ def apply_position_events(positions: DataFrame, events: DataFrame, portfolios: D
     entered in another currency is converted at the rates of its day and kept as entered; an event
     whose rate is missing changes nothing.
     """
-    good = check_events(events, positions, portfolios, instruments, bars) \
-        .where(F.size("reject_reasons") == 0)
+    good = stage(check_events(events, positions, portfolios, instruments, bars)
+                 .where(F.size("reject_reasons") == 0), "events")
+    fx = stage(fx, "fx")
     declared = instruments.select("ticker", F.col("currency").alias("_declared"))
 
     def priced(rows: DataFrame, quote: str) -> DataFrame:
@@ -288,10 +291,10 @@ def apply_position_events(positions: DataFrame, events: DataFrame, portfolios: D
     place = F.struct("event_time", "event_id")
     closes = priced(good.where("kind = 'close'").withColumn("_quote", home), "_quote") \
         .where("_quoted IS NOT NULL")
-    closing = closes.groupBy("position_id").agg(F.min_by(
+    closing = stage(closes.groupBy("position_id").agg(F.min_by(
         F.struct(place.alias("at"), F.col("event_date").alias("sell_date"),
                  F.col("_quoted").alias("sell_price"), F.col("reason").alias("sell_reason")),
-        place).alias("c"))
+        place).alias("c")), "closing")
     edits = good.where("kind = 'edit'").join(closing.select("position_id", F.col("c.at").alias("_end")),
                                              "position_id", "left") \
         .withColumns({"_at": place, "_quote": home}) \
@@ -299,9 +302,9 @@ def apply_position_events(positions: DataFrame, events: DataFrame, portfolios: D
     # A new price is converted at the purchase date valid when it was entered, and a missing rate
     # voids its whole event. An event with a date of its own is judged by that date alone, so the
     # dated ones come first and give the others their date.
-    edits = edits.withColumn("new_date", F.col("event_date"))
+    edits = stage(edits.withColumn("new_date", F.col("event_date")), "edits")
     void = F.col("price").isNotNull() & F.col("_quoted").isNull()
-    dated = priced(edits.where("event_date IS NOT NULL"), "_quote").where(~void)
+    dated = stage(priced(edits.where("event_date IS NOT NULL"), "_quote").where(~void), "dated")
     both = dated.select(*edits.columns).unionByName(edits.where("event_date IS NULL"))
     undated = last_known(both, ["position_id"], "event_time", ["event_time", "event_id"],
                          "new_date", "_valid_on").where("event_date IS NULL") \

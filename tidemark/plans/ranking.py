@@ -60,7 +60,7 @@ def eligible_rows(ind: DataFrame, dates: DataFrame | None, sma_period: int, min_
     sma = F.col(f"sma_{sma_period}")
     rows = ind
     if dates is not None:
-        rows = rows.withColumn("_next", F.lead("date").over(I.BY_TICKER))
+        rows = rows.withColumn("_next", F.lead("date").over(I.by_ticker()))
     rows = rows.where((F.col("price") > sma) & (F.col("mom_r2") > min_mom_r2)) \
         .withColumn("sma_value", sma)
     if dates is None:
@@ -105,8 +105,10 @@ def candidates(ind: DataFrame, dates: DataFrame | None = None,
     """Eligible tickers per date with their score, not ranked."""
     rows = eligible_rows(ind, dates, sma_period, min_mom_r2)
     rows = stage(with_sector(rows, instruments), "eligible")
-    passing = sector_passes(rows, force, "calc_date").where("sector_ok").drop("sector_ok")
-    return scored(passing, ["calc_date"])
+    if force is not None:
+        rows = sector_passes(rows, force, "calc_date").where("sector_ok").drop("sector_ok")
+        rows = stage(rows, "passing")
+    return scored(rows, ["calc_date"])
 
 
 def score_candidates(ind: DataFrame, dates: DataFrame | None = None,
@@ -123,7 +125,7 @@ def score_candidates(ind: DataFrame, dates: DataFrame | None = None,
 def daily_ranking(bars: DataFrame, instruments: DataFrame, force: DataFrame,
                   macro: DataFrame, calc_date: dt.date, top_n: int = 20) -> DataFrame:
     """Ranking at the newest bar date, in the layout it is stored in."""
-    ind = stage(ranking_indicators(bars), "ranking")
+    ind, macro = stage(ranking_indicators(bars), "ranking"), stage(macro, "macro")
     newest = ind.agg(F.max("date").alias("date"))
     rows = candidates(ind, newest, instruments, force)
     totals = rows.agg(F.count(F.lit(1)).cast("int").alias("n_eligible"))

@@ -160,7 +160,7 @@ def sweep_summary(measures_by_k: DataFrame) -> DataFrame:
 
 def signal_outcomes(rows: DataFrame, horizon: int = 30) -> DataFrame:
     """Return ``horizon`` bars after a signal, in and out of sector strength."""
-    later = F.lead("price", horizon).over(I.BY_TICKER)
+    later = F.lead("price", horizon).over(I.by_ticker())
     ret = F.round((later - F.col("price")) / F.col("price") * 100, 2)
     out = rows.withColumn("_ret", ret).where(F.col("signal") & F.col("_ret").isNotNull())
     return out.groupBy("ticker", "force_rel").agg(
@@ -173,9 +173,9 @@ def trade_detail(rows: DataFrame, exits: DataFrame, horizon: int = 30) -> DataFr
     trade was running."""
     taken = signal_trades(exits).select("ticker", "k", "seq", F.lit(True).alias("_taken"))
     shown = rows.withColumns({
-        "price_later": F.lead("price", horizon).over(I.BY_TICKER),
+        "price_later": F.lead("price", horizon).over(I.by_ticker()),
         "_last": F.last("price").over(
-            I.BY_TICKER.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+            I.by_ticker().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
     }).where("signal")
     seen = shown.select("ticker", "seq", "price_later", "_last", "trend_ok", "force_rel", "mom_r2",
                         "breakout", "rvol", "obv_rising", "atr_14", "sma_200")

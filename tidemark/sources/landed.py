@@ -99,7 +99,7 @@ def bars_with_history(bars: DataFrame, min_rows: int = C.MIN_HISTORY,
     kept = valid_bars(bars)
     if tickers is not None:
         kept = kept.join(tickers.select("ticker"), "ticker", "left_semi")
-    return kept.withColumn("_n", F.count(F.lit(1)).over(I.WHOLE_TICKER)) \
+    return kept.withColumn("_n", F.count(F.lit(1)).over(I.whole_ticker())) \
         .where(F.col("_n") >= min_rows).drop("_n")
 
 
