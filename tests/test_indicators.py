@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from helpers import bar_rows, bars, walk, weekdays
 from tidemark.operators.sliding import Ladder, pieces
-from tidemark.functions import indicators as I
 from tidemark.plans.analysis import indicators as analysis_indicators
 from tidemark.plans.ranking import ranking_indicators
 from tidemark.plans.signals import raw_signals
@@ -35,7 +34,7 @@ def test_pieces_cover_the_window(n):
 def test_ladder_sums_match_brute_force(spark):
     prices = walk(3, 300)
     df = bars(spark, bar_rows("A", prices)).withColumn("price", F.col("adj_close"))
-    ladder = Ladder({"p": F.col("price")}, I.by_ticker(), 100, aged=("p",))
+    ladder = Ladder({"p": F.col("price")}, "ticker", "date", 100, aged=("p",))
     out = frame(ladder.build(df).select("ticker", "date", ladder.total("p", 100, 1).alias("s"),
                                         ladder.aged("p", 37).alias("a")))
     for i in range(300):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window, WindowSpec, functions as F
 
 from tidemark import constants as C
-from tidemark.operators.sliding import Ladder
+from tidemark.operators.sliding import Ladder, line_fit
 
 
 def by_ticker() -> WindowSpec:
@@ -103,21 +103,27 @@ def log_price(price: Column) -> dict[str, Column]:
 def price_ladder() -> Ladder:
     """Sums of price ``p``, log price ``y`` and its square, ready for means and line fits."""
     y = F.col("_log")
-    return Ladder({"p": F.col("price"), "y": y, "yy": y * y}, by_ticker(), C.MOMENTUM_WINDOW, aged=("y",))
+    return Ladder({"p": F.col("price"), "y": y, "yy": y * y}, "ticker", "date", C.MOMENTUM_WINDOW,
+                  aged=("y",))
 
 
 def changes_so_far() -> Column:
     return F.sum("_changed").over(running())
 
 
-def trend_fit(ladder: Ladder, n: int = C.MOMENTUM_WINDOW) -> Column:
-    """Share of variance of log prices explained by a straight line over the ``n`` bars before.
+def trend_sums(ladder: Ladder, n: int = C.MOMENTUM_WINDOW) -> dict[str, Column]:
+    """Columns ``trend_fit`` reads, over the ``n`` bars before the current one."""
+    flat = previous(F.col("_changes"), 1) == previous(F.col("_changes"), n)
+    return {**ladder.fit_sums("y", "yy", n, skip=1), "_flat": flat}
+
 
-    A flat series has a fit of 1. Equal counts of price changes tell it exactly.
+def trend_fit(n: int = C.MOMENTUM_WINDOW) -> Column:
+    """Share of variance of log prices explained by a straight line.
+
+    A flat series has a fit of 1; equal counts of price changes tell it exactly.
     """
-    flat = previous(F.col("_changes"), 1) == previous(F.col("_changes"), n)
-    fit = ladder.line_fit("y", "yy", n, skip=1)
-    return F.when(fit.isNotNull(), F.when(flat, 1.0).otherwise(fit))
+    fit = line_fit(n)
+    return F.when(fit.isNotNull(), F.when(F.col("_flat"), 1.0).otherwise(fit))
 
 
 def rate_of_change(price: Column, skip_last: bool, n: int = C.MOMENTUM_WINDOW) -> Column:

@@ -8,9 +8,7 @@ a few of them. Only additions are involved, so nothing cancels, and every step u
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 STEP = 4
 
@@ -29,12 +27,14 @@ def pieces(n: int, longest: int) -> list[tuple[int, int]]:
 class Ladder:
     """Sums of some columns over 1, 4, 16, ... rows; null until enough rows came before.
 
-    ``aged`` names columns that also get a sum weighted by the age of each row.
+    ``aged`` names columns that also get a sum weighted by the age of each row. The sums are long,
+    so they are written as SQL text, which costs one call each to build.
     """
 
-    def __init__(self, sums: dict[str, Column], spec: WindowSpec, longest: int,
+    def __init__(self, sums: dict[str, Column], key: str, order: str, longest: int,
                  aged: tuple[str, ...] = ()):
-        self.sums, self.spec, self.with_age = sums, spec, aged
+        self.sums, self.with_age = sums, aged
+        self.over = f"OVER (PARTITION BY {key} ORDER BY {order})"
         self.longest = 1
         while self.longest * STEP <= longest:
             self.longest *= STEP
@@ -61,27 +61,34 @@ class Ladder:
         """Same sum with each row weighted by its age, 0 for the newest."""
         return self._aged_sum(name, pieces(n, self.longest), skip)
 
-    def line_fit(self, value: str, square: str, n: int, skip: int = 0) -> Column:
-        """Share of variance a straight line explains; 1 without any variance."""
-        y, yy, xy = self.total(value, n, skip), self.total(square, n, skip), self.aged(value, n, skip)
-        x = n * (n - 1) / 2.0
-        xx = (n - 1) * n * (2 * n - 1) / 6.0 - x * x / n
-        shared = xy - y * x / float(n)
-        spread = yy - y * y / float(n)
-        fit = F.when(spread > 0, F.least(shared * shared / (spread * xx), F.lit(1.0))).otherwise(1.0)
-        return F.when(y.isNotNull(), fit)
+    def fit_sums(self, value: str, square: str, n: int, skip: int = 0) -> dict[str, Column]:
+        """The three sums a line fit needs, to be added as columns before ``line_fit``."""
+        return {"_fit_y": self.total(value, n, skip), "_fit_yy": self.total(square, n, skip),
+                "_fit_xy": self.aged(value, n, skip)}
 
     def _sum(self, name: str, parts: list[tuple[int, int]], skip: int) -> Column:
-        return _plus([self._back(name, size, back + skip) for size, back in parts])
+        return F.expr(" + ".join(self._back(name, size, back + skip) for size, back in parts))
 
     def _aged_sum(self, name: str, parts: list[tuple[int, int]], skip: int) -> Column:
-        return _plus([
-            self._back(_age(name), size, back + skip)
-            + self._back(name, size, back + skip) * float(back) for size, back in parts])
+        return F.expr(" + ".join(
+            f"{self._back(_age(name), size, back + skip)} + {self._back(name, size, back + skip)} * {back}D"
+            for size, back in parts))
+
+    def _back(self, name: str, size: int, rows: int) -> str:
+        column = _at(name, size)
+        return f"lag({column}, {rows}) {self.over}" if rows else column
+
 
-    def _back(self, name: str, size: int, rows: int) -> Column:
-        column = F.col(_at(name, size))
-        return F.lag(column, rows).over(self.spec) if rows else column
+def line_fit(n: int) -> Column:
+    """Share of variance a straight line explains, from the columns of ``fit_sums``; 1 without any
+    variance, null without ``n`` rows."""
+    y, yy, xy = F.col("_fit_y"), F.col("_fit_yy"), F.col("_fit_xy")
+    x = n * (n - 1) / 2.0
+    xx = (n - 1) * n * (2 * n - 1) / 6.0 - x * x / n
+    shared = xy - y * (x / n)
+    spread = yy - y * y / float(n)
+    fit = F.when(spread > 0, F.least(shared * shared / (spread * xx), F.lit(1.0))).otherwise(1.0)
+    return F.when(y.isNotNull(), fit)
 
 
 def _at(name: str, size: int) -> str:
@@ -90,7 +97,3 @@ def _at(name: str, size: int) -> str:
 
 def _age(name: str) -> str:
     return f"{name}_age"
-
-
-def _plus(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)

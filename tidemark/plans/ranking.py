@@ -36,11 +36,12 @@ def ranking_indicators(bars: DataFrame, min_history: int = C.MIN_HISTORY) -> Dat
         "ticker", "date", "seq", "price",
         (ladder.total("p", 200) / 200.0).alias("sma_200"),
         (ladder.total("p", 150) / 150.0).alias("sma_150"),
-        (F.col("_roc") * I.trend_fit(ladder)).alias("mom_r2"),
+        "_roc", *[c.alias(n) for n, c in I.trend_sums(ladder).items()],
         (F.col("_vol") / (I.rolling_mean(F.col("_vol"), C.VOLUME_WINDOW, 1) + C.EPSILON)).alias("rvol"),
         F.sum("_signed").over(I.running()).alias("_obv"),
         I.rolling_mean(F.col("_tr"), C.ATR_WINDOW, 1).alias("atr_14"))
-    return b.select("ticker", "date", "seq", "price", "sma_200", "sma_150", "mom_r2", "rvol",
+    return b.select("ticker", "date", "seq", "price", "sma_200", "sma_150",
+                    (F.col("_roc") * I.trend_fit()).alias("mom_r2"), "rvol",
                     I.change(F.col("_obv"), C.OBV_SLOPE_WINDOW).alias("obv_slope"), "atr_14")
 
 

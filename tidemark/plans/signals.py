@@ -39,13 +39,13 @@ def raw_signals(bars: DataFrame, instruments: DataFrame | None = None,
     opening = F.col("_sum") / (F.col("seq") + 1)
     b = b.select(
         *kept, F.coalesce(ladder.total("p", 200) / 200.0, opening).alias("sma_200"),
-        (F.col("_roc") * I.trend_fit(ladder)).alias("mom_r2"),
+        "_roc", *[c.alias(n) for n, c in I.trend_sums(ladder).items()],
         (price >= F.max(price).over(I.trailing(C.BREAKOUT_WINDOW))).alias("breakout"),
         (F.col("_vol") / (I.rolling_mean(F.col("_vol"), C.VOLUME_WINDOW, 1) + C.EPSILON)).alias("rvol"),
         F.sum("_signed").over(I.running()).alias("_obv"),
         I.rolling_mean(F.col("_tr"), C.ATR_WINDOW, 1).alias("atr_14"))
     b = b.withColumns({
-        "trend_ok": price > F.col("sma_200"),
+        "mom_r2": F.col("_roc") * I.trend_fit(), "trend_ok": price > F.col("sma_200"),
         "rvol_high": F.col("rvol") > C.RVOL_THRESHOLD,
         "obv_rising": X.is_true(I.change(F.col("_obv"), C.OBV_SLOPE_WINDOW) > 0),
     })
