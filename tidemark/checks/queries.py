@@ -76,7 +76,7 @@ def strength(spark, d) -> DataFrame:
 
 
 def force(spark, d) -> DataFrame:
-    return K.force_series(strength(spark, d), V.sector_etf(spark, d))
+    return stage(K.force_series(strength(spark, d), V.sector_etf(spark, d)), "force")
 
 
 def macro(spark, d) -> DataFrame:
@@ -87,6 +87,11 @@ def ind(spark, d) -> DataFrame:
     return RK.ranking_indicators(V.bars(spark, d))
 
 
+def stored_ind(spark, d) -> DataFrame:
+    """Indicators written once, for pipelines that read them several times."""
+    return stage(ind(spark, d), "ind")
+
+
 # ---- sources --------------------------------------------------------------------------------
 
 @query
@@ -389,9 +394,8 @@ def latest_bar(spark, d):
 @query
 def asof_fx(spark, d):
     p = V.positions(spark, d).select("id", F.col("quote_currency").alias("currency"), "buy_date")
-    return asof.asof_join(p, V.fx_rates(spark, d).withColumn("rate_date", F.col("date")),
-                          ["currency"], "buy_date", "date",
-                          {"rate_per_eur": "rate", "rate_date": "rate_date"})
+    return asof.join_daily(p, V.fx_rates(spark, d).withColumn("rate_date", F.col("date")),
+                           ["currency"], "buy_date", {"rate_per_eur": "rate", "rate_date": "rate_date"})
 
 
 @query
@@ -406,7 +410,7 @@ def asof_tolerance(spark, d):
 
 @query
 def monday_rows(spark, d):
-    i = ind(spark, d)
+    i = stored_ind(spark, d)
     return RK.eligible_rows(i, RK.mondays(i), 200, 0.0).select(
         "calc_date", "ticker", "row_date", "price")
 
@@ -442,7 +446,7 @@ def portfolio_counts(spark, d):
 
 
 def state(spark, d) -> DataFrame:
-    return P.market_state(ind(spark, d), V.instruments(spark, d), force(spark, d), macro(spark, d))
+    return P.market_state(stored_ind(spark, d), V.instruments(spark, d), force(spark, d), macro(spark, d))
 
 
 @query
@@ -572,7 +576,7 @@ def drawdown(spark, d):
 
 @query
 def weeks_held(spark, d):
-    top = RK.score_candidates(i := ind(spark, d), RK.mondays(i), top_n=5)
+    top = RK.score_candidates(i := stored_ind(spark, d), RK.mondays(i), top_n=5)
     return M.weeks_held(top.select("ticker"), [])
 
 
@@ -741,7 +745,7 @@ def adaptive_k(spark, d):
 
 @query
 def composite_ranking(spark, d):
-    i = ind(spark, d)
+    i = stored_ind(spark, d)
     rows = RK.score_candidates(i, RK.mondays(i), V.instruments(spark, d), force(spark, d))
     return rows.select("calc_date", "rank", "ticker", grid("score").alias("score"), "sector")
 
@@ -754,7 +758,7 @@ def eligible_daily(spark, d):
 
 def stored_ranking(spark, d) -> DataFrame:
     """Top three of every Monday with their day, as stored."""
-    i = ind(spark, d)
+    i = stored_ind(spark, d)
     return RK.score_candidates(i, RK.mondays(i), top_n=3)
 
 
@@ -867,7 +871,7 @@ def k_sweep(spark, d):
 # ---- portfolio backtest ---------------------------------------------------------------------
 
 def hybrid(spark, d, configs) -> P.Backtest:
-    return P.hybrid_backtest(ind(spark, d), configs, V.instruments(spark, d), force(spark, d),
+    return P.hybrid_backtest(stored_ind(spark, d), configs, V.instruments(spark, d), force(spark, d),
                              macro(spark, d))
 
 
@@ -919,7 +923,7 @@ def positions_open(spark, d):
 
 def evaluated(spark, d) -> DataFrame:
     fx = V.fx_rates(spark, d)
-    return POS.evaluate_positions(V.positions(spark, d), stage(ind(spark, d), "ind"),
+    return POS.evaluate_positions(V.positions(spark, d), stored_ind(spark, d),
                                   V.instruments(spark, d), force(spark, d), macro(spark, d), fx)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from tidemark import constants as C
 from tidemark.functions import indicators as I
-from tidemark.operators.asof import asof_join, latest_per_key, one_per_key
+from tidemark.operators.asof import join_daily, latest_per_key, one_per_key
 
 
 def series_of(key: str) -> WindowSpec:
@@ -42,7 +42,7 @@ def macro_status(zone_bars: DataFrame) -> DataFrame:
 
 def macro_at(points: DataFrame, series: DataFrame, on: str = "date") -> DataFrame:
     """``points`` (zone, ``on``, ...) with ``macro_ok``; a zone without a value yet passes."""
-    return asof_join(points, series, ["zone"], on, "date", {"bull": "macro_ok"}) \
+    return join_daily(points, series, ["zone"], on, {"bull": "macro_ok"}) \
         .withColumn("macro_ok", F.coalesce("macro_ok", F.lit(True)))
 
 
@@ -120,7 +120,7 @@ def carried_force(bars: DataFrame, instruments: DataFrame, force: DataFrame,
     for tickers without any series."""
     zone = chosen_zone(instruments, force, order)
     tagged = bars.join(zone, "ticker", "left")
-    found = asof_join(tagged, force, ["sector", "zone"], "date", "date", {"in_force": "_force"})
+    found = join_daily(tagged, force, ["sector", "zone"], "date", {"in_force": "_force"})
     return found.withColumn(
         "force_rel",
         F.when(F.col("zone").isNull(), True).otherwise(F.coalesce("_force", F.lit(False)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import constants as C
 from tidemark.functions import scalars as X
-from tidemark.operators.asof import asof_join, last_known, latest_per_key
+from tidemark.operators.asof import asof_join, join_daily, last_known, latest_per_key
 from tidemark.plans import context, ranking
 from tidemark.session import stage
 
@@ -93,10 +93,8 @@ def open_positions(positions: DataFrame, bars: DataFrame, rsi: DataFrame, as_of:
 
 def rate_on(rows: DataFrame, fx: DataFrame, currency: str, on: str, out: str) -> DataFrame:
     """Rate per euro known on a day; 1 for the euro and for no currency, null before the first rate."""
-    found = asof_join(rows, fx, [currency], on, "date", {"rate_per_eur": out}) \
-        if currency == "currency" else asof_join(
-            rows, fx.withColumnRenamed("currency", currency), [currency], on, "date",
-            {"rate_per_eur": out})
+    rates = fx.withColumnRenamed("currency", currency)
+    found = join_daily(rows, rates, [currency], on, {"rate_per_eur": out})
     home = F.col(currency).isNull() | (F.col(currency) == "EUR")
     return found.withColumn(out, F.when(home, 1.0).otherwise(F.col(out)))
 
