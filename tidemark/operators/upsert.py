@@ -11,6 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.operators.asof import one_per_key
+from tidemark.session import stage
 
 
 def newest(delta: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -93,16 +94,13 @@ def upsert_table(spark: SparkSession, path: str, delta: DataFrame, keys: list[st
                  date: str = "date") -> None:
     """Merge an increment into a table partitioned by month, touching only its months.
 
-    The touched months come from a semi-join, so the increment stays on the executors. The merged
-    months are staged before they overwrite the partitions they were read from.
+    The list of months is short whatever the size of the increment; it prunes the read to those
+    partitions. The merged months are staged before they overwrite the partitions they came from.
     """
-    from tidemark.session import stage
-
-    delta = delta.withColumn("month", month_of(date))
-    base = spark.read.parquet(path)
-    touched = base.join(delta.select("month").distinct(), "month", "left_semi")
-    merged = stage(merge(touched, delta, keys), "upsert")
-    write_partitioned(merged, path, "month")
+    delta = stage(delta.withColumn("month", month_of(date)), "delta")
+    months = [r.month for r in delta.select("month").distinct().collect()]
+    touched = spark.read.parquet(path).where(F.col("month").isin(months))
+    write_partitioned(stage(merge(touched, delta, keys), "upsert"), path, "month")
 
 
 def replace_day(df: DataFrame, path: str, day_column: str) -> None:

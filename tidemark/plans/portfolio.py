@@ -55,12 +55,20 @@ def momentum_compare(max_positions: int = 5) -> list[Config]:
 
 
 def config_frame(spark, configs: list[Config]) -> DataFrame:
+    return spark.createDataFrame([tuple(asdict(c).values()) for c in configs], CONFIG_SCHEMA)
+
+
+def each_config(df: DataFrame, configs: list[Config]) -> DataFrame:
+    """One copy of each row per configuration, with the configuration's columns."""
     if len(configs) > MAX_CONFIGS:
         raise ValueError(f"at most {MAX_CONFIGS} configurations per run")
-    return spark.createDataFrame([tuple(asdict(c).values()) for c in configs], CONFIG_SCHEMA)
+    fields = [(f.split()[0], f.split()[1]) for f in CONFIG_SCHEMA.split(", ")]
+    items = [F.struct(*[F.lit(v).cast(kind).alias(name)
+                        for (name, kind), v in zip(fields, asdict(c).values())]) for c in configs]
+    return df.withColumn("_config", F.explode(F.array(*items))).select(*df.columns, "_config.*")
 
 
-def timeline(ind: DataFrame, configs: DataFrame) -> DataFrame:
+def timeline(ind: DataFrame, configs: list[Config]) -> DataFrame:
     """Backtest days per configuration: within its bounds, warm-up dropped when long enough.
 
     At most one row per calendar day and configuration.
@@ -68,7 +76,7 @@ def timeline(ind: DataFrame, configs: DataFrame) -> DataFrame:
     days = ind.select("date").distinct()
     inside = F.coalesce(F.col("date") >= F.col("start"), F.lit(True)) \
         & F.coalesce(F.col("date") <= F.col("end"), F.lit(True))
-    own = days.join(F.broadcast(configs.select("config_id", "start", "end")), inside)
+    own = each_config(days, configs).where(inside)
     order = Window.partitionBy("config_id").orderBy("date")
     numbered = own.withColumns({
         "_i": F.row_number().over(order),
@@ -114,9 +122,8 @@ def entry_terms(rows: DataFrame) -> DataFrame:
     return rows.withColumn("atr", atr).withColumn("k", X.adaptive_k(F.col("atr"), F.col("price")))
 
 
-def weekly_candidates(state: DataFrame, configs: DataFrame, days: DataFrame) -> DataFrame:
-    """Scored eligible tickers per configuration and Monday, with the Monday's macro state."""
-    period = F.broadcast(configs.select("config_id", "sma_period", "min_mom_r2", "max_positions"))
+def weekly_candidates(state: DataFrame, configs: list[Config], days: DataFrame) -> DataFrame:
+    """Eligible tickers per configuration and Monday."""
     bars = state.withColumn("_next", F.lead("date").over(
         Window.partitionBy("ticker").orderBy("date")))
     limit = F.date_add("date", C.STALE_BAR_DAYS)
@@ -125,7 +132,10 @@ def weekly_candidates(state: DataFrame, configs: DataFrame, days: DataFrame) ->
     monday = F.date_add(F.date_trunc("week", F.date_add("date", 6)).cast("date"), 0)
     bars = bars.withColumn("calc_date", monday).where(F.col("calc_date") <= last)
     sma = F.when(F.col("sma_period") == 150, F.col("sma_150")).otherwise(F.col("sma_200"))
-    rows = bars.join(period, (F.col("price") > sma) & (F.col("mom_r2") > F.col("min_mom_r2")))
+    # No configuration admits a bar below both means, so those go before the copies are made.
+    rising = bars.where((F.col("price") > F.least("sma_150", "sma_200")) & F.col("mom_r2").isNotNull())
+    rows = each_config(rising, configs).where(
+        (F.col("price") > sma) & (F.col("mom_r2") > F.col("min_mom_r2")))
     own = days.where("is_monday").select("config_id", F.col("date").alias("calc_date"))
     return rows.join(own, ["config_id", "calc_date"], "left_semi").select(
         "config_id", "calc_date", "ticker", F.col("date").alias("row_date"), "seq", "price",
@@ -143,8 +153,8 @@ def hybrid_backtest(ind: DataFrame, configs: list[Config], instruments: DataFram
     force = None if force is None else stage(force, "force")
     macro = None if macro is None else stage(macro, "macro")
     state = stage(market_state(ind, instruments, force, macro), "state")
-    days = stage(timeline(state, grid), "days")
-    rows = stage(weekly_candidates(state, grid, days), "weekly")
+    days = stage(timeline(state, configs), "days")
+    rows = stage(weekly_candidates(state, configs, days), "weekly")
     # The ranking reads sector and macro state at the Monday, which may follow the row's own day.
     rows = ranking.sector_passes(rows, force, "calc_date").where("sector_ok").drop("sector_ok")
     rows = ranking.scored(rows, ["config_id", "calc_date"])

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
+_staged: list[str] = []
 
 
 def get_spark(app_name: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
@@ -59,4 +60,16 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the tables staged so far; call it when results built on them are stored."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    dropped = 0
+    while _staged:
+        path = path_of(_staged.pop())
+        dropped += bool(path.getFileSystem(conf).delete(path, True))
+    return dropped
