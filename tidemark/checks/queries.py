@@ -795,9 +795,9 @@ def quant_diagnosis(spark, d):
 
 # ---- signals --------------------------------------------------------------------------------
 
-def breakout_rows(spark, d) -> DataFrame:
+def breakout_rows(spark, d, bars: DataFrame | None = None) -> DataFrame:
     """Indicators whose signal is a breakout with rising volume, so that trades are plenty."""
-    rows = SG.raw_signals(V.bars(spark, d), V.instruments(spark, d), force(spark, d))
+    rows = SG.raw_signals(V.bars(spark, d) if bars is None else bars, V.instruments(spark, d), force(spark, d))
     rows = stage(rows.withColumn("signal_raw", F.col("breakout") & F.col("rvol_high")), "signals")
     kept = exits.cool_down(rows.where("signal_raw").select("ticker", "seq")).withColumn("k_", F.lit(True))
     return rows.join(kept, ["ticker", "seq"], "left").withColumn(
@@ -1017,8 +1017,8 @@ def extract_conversations(spark, d):
 # ---- learning -------------------------------------------------------------------------------
 
 def learning_set(spark, d) -> DataFrame:
-    b = V.bars(spark, d)
-    rows = stage(ML.training_rows(A.indicators(b), ML.label(b), breakout_rows(spark, d),
+    b = stage(V.bars(spark, d), "bars")
+    rows = stage(ML.training_rows(A.indicators(b), ML.label(b), breakout_rows(spark, d, b),
                                   V.instruments(spark, d)), "rows")
     return ML.dataset(rows, ML.known_sectors(rows))
 
