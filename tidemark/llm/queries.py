@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, quality, urls
+from tidemark.llm import bpe, fmindex, pfp, quality, urls
 
 QUERIES = {
+    "op3_fm_index_dedup": fmindex.op3_fm_index_dedup,
     "op5_url_filters": urls.op5_url_filters,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op9_pfp_dedup": pfp.op9_pfp_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
