@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, fmindex, pfp, quality, urls
+from tidemark.llm import bpe, fmindex, frames, pfp, quality, urls
 
 QUERIES = {
+    "op1_seekable_token_frames": frames.op1_seekable_token_frames,
     "op3_fm_index_dedup": fmindex.op3_fm_index_dedup,
     "op5_url_filters": urls.op5_url_filters,
     "op7_byte_bpe": bpe.op7_byte_bpe,
