@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, cpsjoin, fmindex, frames, pfp, quality, urls
+from tidemark.llm import bpe, cpsjoin, fmindex, frames, linededup, pfp, quality, urls
 
 QUERIES = {
     "op1_seekable_token_frames": frames.op1_seekable_token_frames,
     "op3_fm_index_dedup": fmindex.op3_fm_index_dedup,
+    "op4_line_dedup": linededup.op4_line_dedup,
     "op5_url_filters": urls.op5_url_filters,
     "op6_chosen_path_near_dedup": cpsjoin.op6_chosen_path_near_dedup,
     "op7_byte_bpe": bpe.op7_byte_bpe,
