@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, cpsjoin, fmindex, frames, linededup, pfp, quality, urls
+from tidemark.llm import bpe, cpsjoin, decontam, fmindex, frames, linededup, pfp, quality, urls
 
 QUERIES = {
     "op1_seekable_token_frames": frames.op1_seekable_token_frames,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_url_filters": urls.op5_url_filters,
     "op6_chosen_path_near_dedup": cpsjoin.op6_chosen_path_near_dedup,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_template_decontamination": decontam.op8_template_decontamination,
     "op9_pfp_dedup": pfp.op9_pfp_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
 }
