@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, cpsjoin, decontam, fmindex, frames, linededup, pfp, quality, urls
+from tidemark.llm import bpe, cpsjoin, decontam, fmindex, frames, langid, linededup, pfp, quality, urls
 
 QUERIES = {
     "op1_seekable_token_frames": frames.op1_seekable_token_frames,
+    "op2_language_id": langid.op2_language_id,
     "op3_fm_index_dedup": fmindex.op3_fm_index_dedup,
     "op4_line_dedup": linededup.op4_line_dedup,
     "op5_url_filters": urls.op5_url_filters,
