@@ -70,7 +70,9 @@ def test_large_nodes_branch_and_end_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, near_duplicates(docs).collect())) == plain(rows)
 
 
-def test_linked_connects_what_all_pairs_connect():
+@pytest.mark.parametrize("node", [64, 8])
+def test_linked_connects_what_all_pairs_connect(monkeypatch, node):
+    monkeypatch.setattr(cpsjoin, "LOCAL_NODE", node)
     for seed in range(20):
         r = random.Random(seed)
         base = r.sample(range(10**6), 60)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.repeats import _pack
-from tidemark.llm.words import Words, blobs, blocks, grams, mix, stream
+from tidemark.llm.words import Words, blobs, blocks, grams, mix, ragged, stream
 from tidemark.session import stage
 from tidemark.shipping import ship_package
 
@@ -29,6 +29,10 @@ BRANCHES = 2
 #: Shingles of all documents of a node that are compared exhaustively in one task.
 NODE_SHINGLES = 2_000_000
 LEVELS = 6
+#: Inside a task, nodes of more sets branch on, by so many tokens at a time that a pair at the threshold
+#: parts in all of them with a chance of 0.15 ** 7.
+LOCAL_NODE = 64
+LOCAL_BRANCHES = 7
 
 _BLOCK = 1 << 17
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -69,51 +73,79 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return digest, tokens
 
 
+class Links:
+    """Links among sets in one task: enough pairs to connect all that are connected."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int = PERCENT):
+        self.percent = percent
+        self.size = np.fromiter(map(len, sets), np.int64, len(sets))
+        self.tokens = np.unique(np.concatenate(sets), return_inverse=True)[1] if sets else np.zeros(0, np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.mark = np.zeros(int(self.tokens.max()) + 1 if len(self.tokens) else 1, np.int64)
+        self.label = np.arange(len(sets))
+        self.pairs: list[tuple[int, int]] = []
+
+    def compare(self, members: np.ndarray) -> None:
+        """Exhaustive comparison of some of the sets.
+
+        Every pair that is not connected already is compared, unless sizes or the triangle inequality of the
+        Jaccard distance to earlier pivots rule a link out.
+        """
+        label, size, m = self.label, self.size[members], len(members)
+        tokens = self.tokens[ragged(self.start[members], size)]
+        owner = np.repeat(np.arange(m), size)
+        place = np.arange(m)
+        limit = 1 - self.percent / 100 + 1e-9
+        far: list[np.ndarray] = []
+        for p in range(m):
+            near = (label[members] != label[members[p]]) & (place > p)
+            near &= 100 * np.minimum(size, size[p]) >= self.percent * np.maximum(size, size[p])
+            for d in far:
+                near &= np.abs(d - d[p]) <= limit
+            if not near.any():
+                continue
+            mine = self.tokens[self.start[members[p]] : self.start[members[p]] + size[p]]
+            self.mark[mine] = 1
+            common = np.bincount(owner, self.mark[tokens], m).astype(np.int64)
+            self.mark[mine] = 0
+            union = size + size[p] - common
+            if len(far) < 16:
+                far.append(1 - common / np.maximum(union, 1))
+            for y in members[near & (100 * common >= self.percent * union)].tolist():
+                self.pairs.append((int(members[p]), y))
+                if label[y] != label[members[p]]:
+                    label[label == label[y]] = label[members[p]]
+
+    def branch(self, members: np.ndarray, minwise: np.ndarray, first: int = TREES) -> None:
+        """Branch by further minwise tokens, as long as more than LOCAL_NODE sets are together."""
+        if len(members) <= LOCAL_NODE or first + LOCAL_BRANCHES > TOKENS:
+            self.compare(members)
+            return
+        for j in range(first, first + LOCAL_BRANCHES):
+            order = members[np.argsort(minwise[members, j], kind="stable")]
+            value = minwise[order, j]
+            for part in np.split(order, np.flatnonzero(value[1:] != value[:-1]) + 1):
+                if (self.label[part] != self.label[part[0]]).any():
+                    self.branch(np.sort(part), minwise, first + LOCAL_BRANCHES)
+
+
 def linked(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Pairs of places in ``sets`` that link, enough of them to connect all that are connected.
+    """Pairs of places in ``sets`` that link and connect all that links connect."""
+    links = Links(sets, percent)
+    every = np.arange(len(sets))
+    if len(sets) <= LOCAL_NODE:
+        links.compare(every)
+    else:
+        links.branch(every, signatures(sets)[1])
+    return links.pairs
 
-    Every pair that is not connected already is compared, unless sizes or the triangle inequality of the
-    Jaccard distance to earlier pivots rule a link out.
-    """
-    m = len(sets)
-    size = np.fromiter(map(len, sets), np.int64, m)
-    tokens = np.unique(np.concatenate(sets), return_inverse=True)[1] if m else np.zeros(0, np.int64)
-    stop = np.cumsum(size)
-    start = stop - size
-    mark = np.zeros(int(tokens.max()) + 1 if len(tokens) else 1, np.int64)
-    owner = np.repeat(np.arange(m), size)
-    label = np.arange(m)
-    far: list[np.ndarray] = []
-    limit = 1 - percent / 100 + 1e-9
-    pairs = []
-    for p in range(m):
-        near = (label != label[p]) & (np.arange(m) > p)
-        near &= 100 * np.minimum(size, size[p]) >= percent * np.maximum(size, size[p])
-        for d in far:
-            near &= np.abs(d - d[p]) <= limit
-        if not near.any():
-            # Smaller places were pivots, or were ruled out against this one by the same conditions.
-            continue
-        mine = tokens[start[p] : stop[p]]
-        mark[mine] = 1
-        common = np.bincount(owner, mark[tokens], m).astype(np.int64)
-        mark[mine] = 0
-        union = size + size[p] - common
-        if len(far) < 16:
-            far.append(1 - common / np.maximum(union, 1))
-        for y in np.flatnonzero(near & (100 * common >= percent * union)).tolist():
-            pairs.append((p, y))
-            if label[y] != label[p]:
-                label[label == label[y]] = label[p]
-    return pairs
-
-
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """Class of every document: key, n_shingles, component_id, kept.
 
     A document's set holds its distinct shingles of five words (A-Z lower-cased); fewer words are one shingle;
     a text that is missing, empty or without words has none and links with nothing. Documents link when
-    their Jaccard similarity is 0.85 or more, confirmed on the full sets; component_id is the smallest key that
+    their Jaccard similarity is ``percent`` hundredths or more, confirmed on the full sets; component_id is the smallest key that
     links reach, kept says that it is the document's own. Rows that repeat a key are one member of each of
     their sets; rows without a key have no component and are kept. Other columns are ignored; an empty table
     gives an empty result.
@@ -190,7 +222,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         node, reps, sets = None, [], []
 
         def links() -> pa.RecordBatch:
-            pairs = linked(sets)
+            pairs = linked(sets, percent)
             return pa.RecordBatch.from_arrays([pa.array([reps[a] for a, _ in pairs], pa.int64()),
                                                pa.array([reps[b] for _, b in pairs], pa.int64())], ["a", "b"])
 

@@ -108,17 +108,17 @@ def measure(texts: list[bytes]) -> dict[str, list]:
 _ARROW = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
 
 
-def quality_rules(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, text: str = "text", carry: list[str] | None = None, prefix: str = "") -> DataFrame:
     """Counts, compression figures and the verdict of every whole text, beside its row.
 
-    ``carry`` names the columns of ``docs`` to return, all by default; result columns replace
-    columns of the same name. A missing
+    ``carry`` names the columns of ``docs`` to return, all by default; result columns, whose
+    names ``prefix`` goes before, replace columns of the same name. A missing
     text is empty: it has no words, fails the base rules and compresses to nothing. Repeated rows
     are judged one by one; an empty table gives an empty result. No shuffle: texts are judged
     in the task that reads them, about a megabyte at a time.
     """
     ship_package(docs.sparkSession)
-    fields = [x.split() for x in SCHEMA.split(", ")]
+    fields = [(prefix + n, t) for n, t in (x.split() for x in SCHEMA.split(", "))]
     new = {name for name, _ in fields}
     carried = [c for c in (docs.columns if carry is None else carry) if c not in new]
     source = docs.select(docs[text].alias("__text"), *[docs[c] for c in carried])
@@ -130,7 +130,7 @@ def quality_rules(docs: DataFrame, text: str = "text", carry: list[str] | None =
                 found = measure(texts[part])
                 rows = batch.slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays(
-                    [*rows.columns[1:], *[pa.array(found[n], t) for n, t in types]],
+                    [*rows.columns[1:], *[pa.array(found[n.removeprefix(prefix)], t) for n, t in types]],
                     [*batch.schema.names[1:], *[n for n, _ in types]])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[1:]] + [f"{n} {t}" for n, t in fields])
