@@ -7,40 +7,53 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.repeats import Units, covered, repeated_stretches, with_removed
-from tidemark.llm.words import ragged
+from tidemark.llm.repeats import POWERS, Units, covered, repeated_stretches, with_removed
+from tidemark.llm.words import mix, ragged
 
 WINDOW_BYTES = 200
 GRAM_BYTES = 24
 #: Bytes of the rolling hash; consecutive phrases of a text overlap by as many.
 TRIGGER_BYTES = 8
 #: One place in so many triggers a phrase.
-TRIGGER_EVERY = 64
+TRIGGER_EVERY = 32
 
 _ROLL = np.uint64(0xA24BAED4963EE407)
 
 
-def _dense(values: np.ndarray) -> np.ndarray:
-    return np.unique(values, return_inverse=True)[1].astype(np.int64)
+def _suffix_ranks(value: np.ndarray, have: int, left: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of suffixes that end ``left`` symbols ahead, from values that order their first ``have`` symbols.
 
-
-def _suffix_ranks(rank: np.ndarray, have: int, left: np.ndarray) -> np.ndarray:
-    """Ranks of suffixes that end ``left`` symbols ahead, from ranks by their first ``have`` symbols.
-
-    Equal suffixes get equal ranks; a suffix that is a prefix of another one comes first.
+    Equal suffixes get equal ranks; a suffix that is a prefix of another one comes first. Symbols beyond
+    ``depth`` need not count. A rank is the number of smaller suffixes, so refining a class leaves all
+    others as they are; only classes with members that go on are sorted again.
     """
-    n = len(rank)
-    at = np.arange(n)
-    longest = int(left.max()) if n else 0
-    while have < longest:
-        further = np.where(left > have, rank[np.minimum(at + have, n - 1)] + 1, 0)
-        new = _dense(rank * (n + 1) + further)
+    n = len(value)
+    active = np.argsort(value)
+    value = value[active]
+    begins = np.append(True, value[1:] != value[:-1])[:n]
+    rank = np.empty(n, np.int64)
+    rank[active] = np.maximum.accumulate(np.where(begins, np.arange(n), 0))
+    active = active[~(begins & np.append(begins[1:], True)[:n])]
+    while len(active) and have < depth:
+        goes_on = np.zeros(n, bool)
+        goes_on[rank[active[left[active] > have]]] = True
+        active = active[goes_on[rank[active]]]
+        if not len(active):
+            break
+        further = np.where(left[active] > have, rank[np.minimum(active + have, n - 1)] + 1, 0)
+        key = rank[active] * (n + 2) + further
+        order = np.argsort(key)
+        active, key = active[order], key[order]
+        place = np.arange(len(active))
+        old = rank[active]
+        begins_old = np.append(True, old[1:] != old[:-1])
+        begins_new = np.append(True, key[1:] != key[:-1])
+        first_old = np.maximum.accumulate(np.where(begins_old, place, 0))
+        first_new = np.maximum.accumulate(np.where(begins_new, place, 0))
+        rank[active] = old + first_new - first_old
+        alone = begins_new & np.append(begins_new[1:], True)
+        active = active[~alone]
         have *= 2
-        if new.max() == rank.max() and have < longest:
-            # No class was split; equal prefixes of all open suffixes go on alike only if they end alike.
-            if not (left[np.argsort(new, kind="stable")] > have).any():
-                return new
-        rank = new
     return rank
 
 
@@ -71,56 +84,56 @@ class Parse:
         number = {x: i for i, x in enumerate(self.dictionary)}
         self.parse = np.fromiter(map(number.__getitem__, phrases), np.int64, len(phrases))
 
-    def _dictionary_ranks(self) -> tuple[np.ndarray, np.ndarray]:
+    def _dictionary_ranks(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Rank of every suffix of every dictionary phrase, and where each phrase begins."""
         size = np.fromiter(map(len, self.dictionary), np.int64, len(self.dictionary))
         stop = np.cumsum(size)
         raw = b"".join(self.dictionary)
         left = np.repeat(stop, size) - np.arange(len(raw))
         eight = np.ndarray((len(raw) + 1,), ">u8", raw + bytes(8), 0, (1,))[: len(raw)].astype(np.uint64)
-        inside = np.minimum(left, 8)
-        # Bytes beyond the end of the phrase are cleared; a shorter suffix goes before a longer one.
-        cleared = (eight >> (8 * (8 - inside)).astype(np.uint64)) << (8 * (8 - inside)).astype(np.uint64)
-        first = _dense(cleared) * 9 + inside
-        return _suffix_ranks(_dense(first), 8, left), stop - size
+        # Seven bytes and how many of them the phrase has; bytes beyond its end are cleared.
+        inside = np.minimum(left, 7)
+        clear = (8 * (8 - inside)).astype(np.uint64)
+        first = ((eight >> clear) << clear) | inside.astype(np.uint64)
+        return _suffix_ranks(first, 7, left, depth), stop - size
 
-    def _parse_ranks(self) -> np.ndarray:
+    def _parse_ranks(self, depth: int) -> np.ndarray:
         """Rank of every suffix of the parse, within its text."""
         text = np.searchsorted(self.stop, self.head, "right")
         last = np.searchsorted(text, text, "right")
-        return _suffix_ranks(_dense(self.parse), 1, last - np.arange(len(self.parse)))
+        return _suffix_ranks(self.parse, 1, last - np.arange(len(self.parse)), depth)
 
-    def order(self, places: np.ndarray) -> np.ndarray:
-        """``places`` sorted by the texts from there on.
+    def order(self, places: np.ndarray, depth: int) -> np.ndarray:
+        """``places`` sorted by the texts from there on, as far as ``depth`` bytes.
 
         A place lies in one phrase, before its last TRIGGER_BYTES. The rest of that phrase comes first in
         the comparison: such rests are prefix-free, so either two differ or they are equal and the
         phrases after them decide.
         """
-        ranks, starts = self._dictionary_ranks()
-        parse = self._parse_ranks()
+        ranks, starts = self._dictionary_ranks(depth)
+        parse = self._parse_ranks(depth)
         at = np.searchsorted(self.head, places, "right") - 1
         rest = ranks[starts[self.parse[at]] + places - self.head[at]]
         after = np.where(self.ends_text[at], 0, np.append(parse[1:], 0)[at] + 1)
-        return places[np.lexsort((after, rest))]
+        return places[np.argsort(rest * (len(parse) + 2) + after)]
 
-    def same(self, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
-        """Whether ``size`` bytes from each place of ``a`` and ``b`` are equal."""
-        out = np.zeros(len(a), bool)
-        live = np.arange(len(a))
-        for spot in [*range(0, size - 7, 8), size - 8]:
-            live = live[self.eight[a[live] + spot] == self.eight[b[live] + spot]]
-        out[live] = True
-        return out
+    def window_hashes(self, size: int) -> np.ndarray:
+        """Hash of ``size`` bytes from every place, by a rolling sum over hashes of eight bytes."""
+        value = mix(self.eight[: len(self.raw)].astype(np.uint64))
+        up, down = POWERS.to(len(value) + 1)
+        total = np.append(np.uint64(0), np.cumsum(value * up[: len(value)]))
+        stop = np.minimum(np.arange(len(value)) + size - 7, len(value))
+        return (total[stop] - total[:-1]) * down[: len(value)]
 
 
 def shared_windows(content: list[bytes], n: np.ndarray, doc: np.ndarray, start: np.ndarray, places: np.ndarray,
                    size: int = WINDOW_BYTES) -> list[np.ndarray]:
     """Offsets of each phrase's windows that occur twice among the phrases, or in a phrase of several places."""
     parse = Parse(content)
-    ordered = parse.order(ragged(parse.begin, n))
+    ordered = parse.order(ragged(parse.begin, n), size)
     twice = np.zeros(len(parse.raw), bool)
-    equal = parse.same(ordered[1:], ordered[:-1], size)
+    value = parse.window_hashes(size)[ordered]
+    equal = value[1:] == value[:-1]
     twice[ordered[1:][equal]] = True
     twice[ordered[:-1][equal]] = True
     out = []

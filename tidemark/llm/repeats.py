@@ -54,7 +54,7 @@ class _Powers:
         return self.up, self.down
 
 
-_POWERS = _Powers()
+POWERS = _Powers()
 
 
 @dataclass(frozen=True)
@@ -118,7 +118,7 @@ class Units:
             count = np.minimum(count, LONGEST)
         begin = head
         stop = begin + count + self.size - self.gram  # last gram of the stretch, plus one
-        up, down = _POWERS.to(len(values) + 1)
+        up, down = POWERS.to(len(values) + 1)
         total = np.append(np.uint64(0), np.cumsum(values * up[: len(values)]))
         tag = mix((total[stop] - total[begin]) * down[begin] + count.astype(np.uint64))
         return {"text": owner, "start": begin - first[owner], "n": count,
