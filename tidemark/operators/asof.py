@@ -182,70 +182,3 @@ def asof_priority(
         .withColumn(out, first_available(F.col("_options"), F.col(order), F.lit(default)))
         .select(*[c for c in left.columns if c != out], out)
     )
-
-
-def last_known(df: DataFrame, keys: list[str], moment: str, order: list[str], value: str,
-               out: str) -> DataFrame:
-    """Add the last non-null ``value`` up to each row.
-
-    Rows of a key are cut into hours of ``moment``: the running value is found inside each hour and
-    the hours before contribute one row each, so a busy key is spread over many groups.
-    """
-    rows = df.withColumn("_hour", F.date_trunc("hour", moment))
-    known = F.when(F.col(value).isNotNull(), F.struct(*order))
-    per_hour = rows.groupBy(*keys, "_hour").agg(F.max_by(value, known).alias("_value"))
-    before = Window.partitionBy(*keys).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_hour.withColumn("_carry", F.last("_value", ignorenulls=True).over(before)) \
-        .drop("_value")
-    inside = Window.partitionBy(*keys, "_hour").orderBy(*order) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = rows.withColumn("_inside", F.last(value, ignorenulls=True).over(inside))
-    return found.join(carried, keys + ["_hour"]).withColumn(out, F.coalesce("_inside", "_carry")) \
-        .select(*df.columns, out)
-
-
-def _all_known(columns: list[str]) -> Column:
-    condition = F.lit(True)
-    for name in columns:
-        condition = condition & F.col(name).isNotNull()
-    return condition
-
-
-def first_available(values: Column, order: Column, default: Column) -> Column:
-    """First known entry of map ``values`` in the order of array ``order``."""
-    tried = F.filter(F.transform(order, lambda z: F.try_element_at(values, z)),
-                     lambda v: v.isNotNull())
-    return F.coalesce(F.try_element_at(tried, F.lit(1)), default)
-
-
-def asof_priority(
-    left: DataFrame,
-    series: DataFrame,
-    key: str,
-    order: str,
-    left_on: str,
-    value: str,
-    option: str = "zone",
-    default: bool = True,
-    out: str = "in_force",
-) -> DataFrame:
-    """As-of lookup that tries several series per row and takes the first with a value.
-
-    ``series`` has (key, option, date, value); ``left`` has ``key`` and array ``order`` of options.
-    """
-    asked = (
-        left.select(key, left_on, F.explode(order).alias(option))
-        .where(_all_known([key, left_on])).distinct()
-    )
-    found = asof_join(asked, series, [key, option], left_on, "date", {value: "_value"},
-                      left_unique=True)
-    # At most one entry per option: the collected map holds a handful of zones.
-    per_point = (
-        found.where(F.col("_value").isNotNull()).groupBy(key, left_on)
-        .agg(F.map_from_entries(F.collect_list(F.struct(option, "_value"))).alias("_options"))
-    )
-    return (
-        left.join(per_point, [key, left_on], "left")
-        .withColumn(out, first_available(F.col("_options"), F.col(order), F.lit(default)))
-        .select(*[c for c in left.columns if c != out], out)
-    )
