@@ -57,15 +57,28 @@ def test_folds_and_scores(spark, data, tmp_path):
     cv = ML.cross_validate(ds, folds=2).orderBy("fold").collect()
     assert [(r.n_train, r.n_test) for r in cv] == [(n - 2 * (n // 3), n // 3), (n - n // 3, n // 3)]
     columns = ML.feature_columns(ds)
-    trained = ML.Trained(ML.fit(ds, columns), columns, 0.6, True)
+    trained = ML.Trained(ML.fit(ds, columns), columns, ["Energy", "Tech"], 0.6, True)
     ML.save(trained, str(tmp_path / "m"))
-    model, kept = ML.load(str(tmp_path / "m"))
-    assert kept == columns
+    model, kept, sectors = ML.load(str(tmp_path / "m"))
+    assert kept == columns and sectors == ["Energy", "Tech"]
     rows = indicators(b).join(facts, "ticker", "left")
-    one = {(r.ticker, r.date): r.score for r in ML.score(rows, model, kept, ["Tech", "Energy"]).collect()}
+    one = {(r.ticker, r.date): r.score for r in ML.score(rows, model, kept, sectors).collect()}
     two = {(r.ticker, r.date): r.score for r in ML.score(rows, trained.model, kept, ["Tech", "Energy"]).collect()}
     assert one == two and len(one) == 540 and all(0 <= v <= 1 for v in one.values())
-    assert ML.score(rows, None, [], []).agg(F.max("score")).first()[0] == 0.0
+    none = ML.score(rows, None, [], [])
+    assert none.columns == ["ticker", "date", "score"] and none.agg(F.max("score")).first()[0] == 0.0
+
+
+def test_categories_are_matched_by_value(spark):
+    sectors = ["MIDDLE EAST", "MIDDLE_EAST", *[f"S{i}" for i in range(300)]]
+    rows = spark.createDataFrame([("A", "MIDDLE EAST", "HAUSSIER"), ("B", "MIDDLE_EAST", None), ("C", None, "NEUTRE"), ("D", "new", "X")],
+                                 "ticker string, sector string, regime string")
+    names = list(ML.one_hot(F.lit(""), "sector", [*sectors, ML.UNKNOWN_SECTOR]))
+    assert len(set(names)) == 303
+    got = {r.ticker: r.asDict() for r in ML.encoded(rows, names + ["regime_BULL", "absent"], sectors).collect()}
+    ones = {t: [n for n in names if r[n] == 1] for t, r in got.items()}
+    assert ones == {"A": ["sector_MIDDLE_EAST"], "B": ["sector_MIDDLE_EAST_1"], "C": ["sector_INCONNU"], "D": []}
+    assert got["A"]["regime_BULL"] == 1 and got["B"]["absent"] == 0
 
 
 def test_too_few_rows(data):

@@ -38,7 +38,7 @@ def test_event_risk(spark, text, want):
     ("RESUME : b\nRÉSUMÉ : a", "a"),
 ])
 def test_summary(spark, text, want):
-    assert spark.createDataFrame([(text,)], "t string").select(T.summary(F.col("t"))).first()[0] == want
+    assert spark.createDataFrame([(text,)], "t string").select(T.summary(F.col("t"), T.SUMMARY_LENGTH)).first()[0] == want
 
 
 def batch(spark, text, expected):
@@ -167,3 +167,9 @@ def test_backfill_needs_more_than_the_prefix(spark):
     df = spark.createDataFrame([("position_auto", None), ("position", None), (None, None), ("position_x", "ranking")],
                                "source string, type string")
     assert [r.type for r in O.backfill_type(df).collect()] == ["position", "ranking", "ranking", "ranking"]
+
+
+def test_summary_is_whole_unless_cut(spark):
+    df = spark.createDataFrame([("RÉSUMÉ : " + "é" * 900,)], "t string")
+    whole, shown = df.select(T.summary(F.col("t")), T.summary(F.col("t"), 500)).first()
+    assert whole == "é" * 900 and shown == "é" * 500

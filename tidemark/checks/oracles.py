@@ -166,8 +166,7 @@ oracle("landed_instruments", [INSTR], """SELECT ticker, name, CASE WHEN n % 3 <>
       || ' ' || upper(substr(split_part(sector, ' ', 2), 1, 1)) || lower(substr(split_part(sector, ' ', 2), 2))
       ELSE lower(substr(sector, 2)) END END AS sector,
   industry, country, currency, market_cap, pe_ratio, '2001-01-01' AS updated FROM instr""")
-oracle("universe", [BARS, INSTR], """SELECT ticker FROM instr WHERE market_cap < 20000
-  UNION SELECT ticker FROM bars WHERE volume > 100""")
+oracle("universe", [SBARS, INSTR], "SELECT ticker FROM instr UNION SELECT ticker FROM sbars")
 oracle("fx_universe", [INSTR], "SELECT DISTINCT currency FROM instr WHERE currency <> 'EUR'")
 oracle("tickers_with_history", [SBARS], """SELECT ticker, count(*) AS n_bars FROM sbars WHERE adj_close > 0
   GROUP BY 1 HAVING count(*) >= 500""")
@@ -261,10 +260,9 @@ oracle("analysis_indicators", [BARS, INSTR, _analysis("a", "bars")], ANALYSIS_OU
 SLICE = "slice AS (SELECT bars.* FROM bars, last_day WHERE date >= d - 220)"
 oracle("analysis_incremental", [BARS, INSTR, LAST, SLICE, _analysis("a", "slice")],
        ANALYSIS_OUT + ", last_day WHERE date >= d - 5")
-oracle("stream_tail", [BARS, LAST, MERGED, "slice AS (SELECT merged.* FROM merged, last_day WHERE date >= last_day.d - 220)",
-                       _analysis("a", "slice")],
+oracle("stream_tail", [BARS, LAST, MERGED, _analysis("a", "merged")],
        f"""SELECT ticker, {day('date')}, {g('rsi_14')}, {g('sma_200', 4)}, {g('atr_14', 4)}, regime
-  FROM a, last_day WHERE date >= last_day.d - 5""")
+  FROM a""")
 
 # ---- filters and lookups --------------------------------------------------------------------
 
@@ -418,8 +416,8 @@ ex AS (SELECT * FROM hits WHERE reason IS NOT NULL QUALIFY row_number() OVER (PA
 
 oracle("stale_tickers", [SBARS, LAST], f"""SELECT ticker, {day('max(date)', 'last_date')} FROM sbars, last_day
   GROUP BY ticker, d HAVING max(date) < d - 3""")
-oracle("missing_tickers", [SBARS, LAST], """SELECT CAST(s_suppkey AS VARCHAR) AS ticker FROM supplier WHERE
-  CAST(s_suppkey AS VARCHAR) NOT IN (SELECT ticker FROM sbars, last_day WHERE date >= d - 30)""")
+oracle("missing_tickers", [SBARS], """SELECT CAST(c_custkey AS VARCHAR) AS ticker FROM customer WHERE
+  CAST(c_custkey AS VARCHAR) NOT IN (SELECT ticker FROM sbars)""")
 _PROFILE = {"log": ["id", "ticker", "date", "signal", "decision", "price_j0", "price_j10", "result_pct"],
             "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
                          "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]}
@@ -433,7 +431,7 @@ oracle("system_health", [BARS, LOG], f"""SELECT {day('min(date)', 'first_date')}
   count(*) FILTER (decision = 'REJETÉ_NLP') AS n_rejected_nlp,
   round(100.0 * count(*) FILTER (decision = 'SUGGESTION' AND result_pct >= 5)
     / nullif(count(*) FILTER (decision = 'SUGGESTION' AND result_pct IS NOT NULL), 0), 2) AS success_pct
-  FROM log WHERE date >= (SELECT max(date) FROM log) - 15""")
+  FROM log WHERE date >= (SELECT max(date) FROM log) - 30""")
 LABEL = """label AS (SELECT ticker, date, adj_close, CASE WHEN f IS NULL THEN NULL WHEN f >= adj_close * 1.05 THEN 1 ELSE 0
     END AS target FROM (SELECT *, lead(adj_close, 10) OVER (PARTITION BY ticker ORDER BY date) AS f FROM bars
     WHERE adj_close > 0))"""
@@ -910,3 +908,12 @@ rows1 AS (SELECT *, row_number() OVER (ORDER BY date, md5(ticker), ticker) - 1 A
 ORACLES["ml_dataset"] = ORACLES["ml_dataset"].replace("SECTOR_COLUMNS", ", ".join(
     f"CASE WHEN coalesce(sector, 'INCONNU') = '{s}' THEN 1.0 ELSE 0.0 END AS \"sector_{s.replace(' ', '_')}\""
     for s in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST", "INCONNU")))
+
+_SECTORS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+oracle("ml_encoded", [BARS, INSTR, LAST, _analysis("a", "bars")], f"""SELECT ticker, {day('date')}, """ + ", ".join(
+    [f"CASE WHEN sector = '{s}' THEN 1.0 ELSE 0.0 END::DOUBLE AS sector_{s.replace(' ', '_')}" for s in _SECTORS]
+    + ["CASE WHEN sector IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS sector_INCONNU"]
+    + [f"CASE WHEN {c} THEN 1.0 ELSE 0.0 END::DOUBLE AS regime_{n}" for n, c in (
+        ("BULL", "regime IN ('HAUSSIER', 'BULL')"), ("BEAR", "regime IN ('BAISSIER', 'BEAR')"),
+        ("NEUTRE", "regime IS NULL OR regime NOT IN ('HAUSSIER', 'BULL', 'BAISSIER', 'BEAR')"))])
+       + " FROM a LEFT JOIN (SELECT ticker, sector FROM instr) USING (ticker), last_day WHERE date >= last_day.d - 5")

@@ -139,8 +139,7 @@ def landed_instruments(spark, d):
 
 @query
 def universe(spark, d):
-    return L.universe(V.instruments(spark, d).where("market_cap < 20000"),
-                      V.bars(spark, d).where("volume > 100"))
+    return L.universe(V.instruments(spark, d), V.supplier_bars(spark, d))
 
 
 @query
@@ -280,7 +279,8 @@ def stream_tail(spark, d):
     ST.create_table(A.indicators(base).select("ticker", "date", *A.INDICATORS), ind_table)
     delta.coalesce(1).write.parquet(landing)
     ST.ingest_and_refresh(spark, landing, bars_table, ind_table, new_path(spark, "offsets"))
-    rows = L.rows_to_save(spark.read.parquet(ind_table), last_day(spark, d))
+    # The whole table after the increment equals one that is computed anew.
+    rows = spark.read.parquet(ind_table)
     return rows.select("ticker", "date", grid("rsi_14").alias("rsi_14"), grid("sma_200", 4).alias("sma_200"),
                        grid("atr_14", 4).alias("atr_14"), "regime")
 
@@ -470,9 +470,8 @@ def stale_tickers(spark, d):
 
 @query
 def missing_tickers(spark, d):
-    landed = V.supplier_bars(spark, d).where(F.col("date") >= F.lit(last_day(spark, d) - dt.timedelta(30)))
-    wanted = V.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("ticker"))
-    return Q.missing_tickers(wanted, landed)
+    wanted = V.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("ticker"))
+    return Q.missing_tickers(wanted, V.supplier_bars(spark, d))
 
 
 @query
@@ -487,7 +486,7 @@ def profile(spark, d):
 def system_health(spark, d):
     log = Q.update_results(V.signal_log(spark, d), V.bars(spark, d), last_day(spark, d))
     end = log.agg(F.max("date")).first()[0]
-    return Q.system_health(log, end, 15)
+    return Q.system_health(log, end, 30)
 
 
 @query
@@ -577,7 +576,7 @@ def drawdown(spark, d):
 @query
 def weeks_held(spark, d):
     top = RK.score_candidates(i := stored_ind(spark, d), RK.mondays(i), top_n=5)
-    return M.weeks_held(top.select("ticker"), [])
+    return M.weeks_held(top.select("ticker"), [], 20)
 
 
 @query
@@ -963,7 +962,7 @@ def last_opinion(spark, d):
 
 @query
 def extract_sections(spark, d):
-    return O.extract_batch_opinions(V.opinion_batches(spark, d)).select(
+    return O.extract_batch_opinions(V.opinion_batches(spark, d), display=True).select(
         "batch_id", "ticker", "ai_rank", "conviction", "is_default", "event_risk", "summary",
         F.length("text").alias("n_chars"), "lot_reading", "order_line")
 
@@ -1005,13 +1004,13 @@ def extract_event_risk(spark, d):
 
 @query
 def extract_summary(spark, d):
-    return opinion_texts(spark, d).select("doc_id", TX.summary(F.col("text")).alias("summary"))
+    return opinion_texts(spark, d).select("doc_id", TX.summary(F.col("text"), TX.SUMMARY_LENGTH).alias("summary"))
 
 
 @query
 def extract_conversations(spark, d):
     c = V.table(spark, d, "conversations")
-    return O.extract_fields(c).select("conv_id", "turn", "conviction", "is_default", "event_risk", "summary")
+    return O.extract_fields(c, display=True).select("conv_id", "turn", "conviction", "is_default", "event_risk", "summary")
 
 
 # ---- learning -------------------------------------------------------------------------------
@@ -1023,6 +1022,19 @@ def learning_set(spark, d) -> DataFrame:
     return ML.dataset(rows, ML.known_sectors(rows))
 
 
+def scoring_rows(spark, d) -> DataFrame:
+    facts = V.instruments(spark, d).select("ticker", "sector", "market_cap", "pe_ratio")
+    return L.rows_to_save(A.indicators(V.bars(spark, d)), last_day(spark, d)).join(facts, "ticker", "left")
+
+
+@query
+def ml_encoded(spark, d):
+    """Category features as they enter the model at scoring."""
+    sectors = ML.known_sectors(V.instruments(spark, d))
+    columns = list(ML.one_hot(F.lit(""), "sector", [*sectors, ML.UNKNOWN_SECTOR])) + list(ML.one_hot(F.lit(""), "regime", list(ML.REGIMES)))
+    return ML.encoded(scoring_rows(spark, d), columns, sectors).select("ticker", "date", *columns)
+
+
 @query
 def ml_dataset(spark, d):
     data = learning_set(spark, d)
@@ -1042,8 +1054,4 @@ def ml_scores(spark, d):
     data = stage(learning_set(spark, d), "training")
     columns = ML.feature_columns(data)
     model = ML.fit(data, columns)
-    b = V.bars(spark, d)
-    facts = V.instruments(spark, d).select("ticker", "sector", "market_cap", "pe_ratio")
-    rows = L.rows_to_save(A.indicators(b), last_day(spark, d)).join(facts, "ticker", "left")
-    sectors = sorted({c.removeprefix("sector_") for c in columns if c.startswith("sector_")})
-    return ML.score(rows, model, columns, sectors)
+    return ML.score(scoring_rows(spark, d), model, columns, ML.known_sectors(V.instruments(spark, d)))

@@ -17,7 +17,8 @@ DEFAULT_CONVICTION = "MODÉRÉ"
 # Markers that open a summary and words that end it.
 SUMMARY_MARKERS = ("RÉSUMÉ :", "RÉSUMÉ:", "RESUME :", "RESUME:")
 SUMMARY_ENDS = ("ANALYSE", "**", "POUR", "CONTRE", "CONCLUSION")
-SUMMARY_LENGTH = 500
+# Characters that stored summaries, readings and order lines show.
+SUMMARY_LENGTH, READING_LENGTH, ORDER_LENGTH = 500, 2000, 200
 # Patterns of an answer's parts.
 GAP = r"[^\p{L}\p{N}]"
 SPACE = r"[\s\p{Z}]"
@@ -63,8 +64,8 @@ def event_risk(text: Column) -> Column:
     return F.when(word == "OUI", True).when(word == "NON", False)
 
 
-def summary(text: Column) -> Column:
-    """Lines after the first summary marker up to the next heading, joined."""
+def summary(text: Column, length: int | None = None) -> Column:
+    """Lines after the first summary marker up to the next heading, joined; ``length`` cuts it for display."""
     def after(marker: str) -> Column:
         place = F.locate(marker, text)
         tail = F.when(place > 0, F.substring(text, place + len(marker), F.length(text)))
@@ -72,7 +73,8 @@ def summary(text: Column) -> Column:
         ends = F.transform(lines, lambda s: _starts_any(s))
         stop = F.coalesce(F.nullif(F.array_position(ends, True), F.lit(0)) - 1, F.size(lines))
         kept = F.filter(F.slice(lines, 1, stop.cast("int")), lambda s: s != "")
-        return F.nullif(F.substring(F.array_join(kept, " "), 1, SUMMARY_LENGTH), F.lit(""))
+        joined = F.array_join(kept, " ")
+        return F.nullif(joined if length is None else F.substring(joined, 1, length), F.lit(""))
     return F.coalesce(*[after(m) for m in SUMMARY_MARKERS], F.lit(""))
 
 

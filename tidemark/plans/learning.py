@@ -28,7 +28,6 @@ SIGNAL_WEIGHT = 5.0
 FOLDS = 5
 MIN_ROWS = 200
 MIN_PRECISION = 0.52
-MAX_SECTORS = 200
 
 
 def label(bars: DataFrame) -> DataFrame:
@@ -81,12 +80,8 @@ def time_index(rows: DataFrame) -> DataFrame:
 
 
 def known_sectors(rows: DataFrame) -> list[str]:
-    """Category list of the sector feature; a short, checked list."""
-    found = [r.sector for r in rows.where("sector IS NOT NULL").select("sector").distinct()
-             .limit(MAX_SECTORS + 1).collect()]
-    if len(found) > MAX_SECTORS:
-        raise ValueError(f"more than {MAX_SECTORS} sectors")
-    return sorted(found)
+    """Category list of the sector feature: one feature column each."""
+    return sorted(r.sector for r in rows.where("sector IS NOT NULL").select("sector").distinct().collect())
 
 
 def feature_name(kind: str, value: str) -> str:
@@ -94,7 +89,12 @@ def feature_name(kind: str, value: str) -> str:
 
 
 def one_hot(column: Column, kind: str, values: list[str]) -> dict[str, Column]:
-    return {feature_name(kind, v): (column == v).cast("double") for v in values}
+    """One indicator per value; values whose names would be the same are told apart by their place."""
+    out: dict[str, Column] = {}
+    for i, v in enumerate(values):
+        name = feature_name(kind, v)
+        out[f"{name}_{i}" if name in out else name] = (column == v).cast("double")
+    return out
 
 
 def dataset(rows: DataFrame, sectors: list[str]) -> DataFrame:
@@ -169,44 +169,56 @@ def cross_validate(data: DataFrame, folds: int = FOLDS) -> DataFrame:
 class Trained:
     model: PipelineModel
     columns: list[str]
+    sectors: list[str]
     accuracy: float
     reliable: bool
 
 
-def train(data: DataFrame) -> Trained:
-    """Validate over time, then fit on everything."""
+def train(data: DataFrame, sectors: list[str]) -> Trained:
+    """Validate over time, then fit on everything; ``sectors`` is the category list of ``data``."""
     data = stage(data, "training")
     accuracy = cross_validate(data).agg(F.avg("precision")).first()[0]
     columns = feature_columns(data)
-    return Trained(fit(data, columns), columns, round(accuracy, 4), accuracy >= MIN_PRECISION)
+    return Trained(fit(data, columns), columns, list(sectors), round(accuracy, 4), accuracy >= MIN_PRECISION)
 
 
 def save(trained: Trained, path: str) -> None:
-    """Model directory with its column list and accuracy beside it."""
+    """Model directory with its columns, categories and accuracy beside it."""
     trained.model.write().overwrite().save(f"{path}/model")
-    _active().createDataFrame([(trained.columns, trained.accuracy)], "columns array<string>, accuracy double") \
+    _active().createDataFrame([(trained.columns, trained.sectors, trained.accuracy)],
+                                             "columns array<string>, sectors array<string>, accuracy double") \
         .coalesce(1).write.mode("overwrite").json(f"{path}/registry")
 
 
-def load(path: str) -> tuple[PipelineModel, list[str]]:
-    row = _active().read.schema("columns array<string>, accuracy double").json(f"{path}/registry").first()
-    return PipelineModel.load(f"{path}/model"), list(row.columns)
+def load(path: str) -> tuple[PipelineModel, list[str], list[str]]:
+    """Model, feature columns and sector categories."""
+    row = _active().read.schema("columns array<string>, sectors array<string>").json(f"{path}/registry").first()
+    return PipelineModel.load(f"{path}/model"), list(row.columns), list(row.sectors)
 
 
 def _active() -> SparkSession:
     return SparkSession.getActiveSession()
 
 
+def encoded(rows: DataFrame, columns: list[str], sectors: list[str]) -> DataFrame:
+    """Rows with the feature columns that enter the model; what is absent or unknown counts as 0.
+
+    Categories are matched by value: ``sectors`` is the list the model was trained with.
+    """
+    sector = F.coalesce("sector", F.lit(UNKNOWN_SECTOR))
+    regime = F.coalesce("regime", F.lit("NEUTRE"))
+    for old, new in REGIME_NAMES.items():
+        regime = F.when(regime == old, new).otherwise(regime)
+    ready = rows.withColumns({**one_hot(sector, "sector", [*sectors, UNKNOWN_SECTOR]), **one_hot(regime, "regime", list(REGIMES))})
+    absent = {c: F.lit(0.0) for c in columns if c not in ready.columns}
+    ready = ready.withColumns(absent) if absent else ready
+    return ready.withColumns({c: F.coalesce(finite(F.col(c).cast("double")), F.lit(0.0)) for c in columns})
+
+
 def score(rows: DataFrame, model: PipelineModel | None, columns: list[str],
           sectors: list[str]) -> DataFrame:
     """Probability of a gain; absent columns count as 0, and without a model so does the score."""
     if model is None:
-        return rows.withColumn("score", F.lit(0.0))
-    encoded = rows.withColumns({
-        **one_hot(F.col("sector"), "sector", sectors), **one_hot(F.col("regime"), "regime", list(REGIMES))})
-    absent = {c: F.lit(0.0) for c in columns if c not in encoded.columns}
-    ready = encoded.withColumns(absent) if absent else encoded
-    ready = ready.withColumns({c: F.coalesce(finite(F.col(c).cast("double")), F.lit(0.0))
-                               for c in columns})
-    return model.transform(ready).withColumn("score", vector_to_array("probability")[1]) \
+        return rows.select("ticker", "date", F.lit(0.0).alias("score"))
+    return model.transform(encoded(rows, columns, sectors)).withColumn("score", vector_to_array("probability")[1]) \
         .select("ticker", "date", "score")

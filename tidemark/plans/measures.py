@@ -51,7 +51,7 @@ def exit_reasons(trades: DataFrame, keys: list[str]) -> DataFrame:
         (F.count_if(r > 0) / F.count(F.lit(1)) * 100).alias("win_rate_pct"))
 
 
-def weeks_held(holdings: DataFrame, keys: list[str], top_n: int = 20) -> DataFrame:
+def weeks_held(holdings: DataFrame, keys: list[str], top_n: int) -> DataFrame:
     """Tickers held for most weeks."""
     counts = holdings.groupBy(*keys, "ticker").agg(F.count(F.lit(1)).alias("weeks_held"))
     order = [F.col("weeks_held").desc(), F.col("ticker")]

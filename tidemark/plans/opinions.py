@@ -17,24 +17,25 @@ RETURNS = [f"return_{h}" for h in HORIZONS]
 
 # ---- extraction -----------------------------------------------------------------------------
 
-def extract_fields(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Conviction, event risk and summary of free-standing opinion texts."""
+def extract_fields(texts: DataFrame, text: str = "text", display: bool = False) -> DataFrame:
+    """Conviction, event risk and summary of free-standing opinion texts; ``display`` cuts the summary."""
     stated = T.conviction(F.col(text))
     return texts.withColumns({
         "conviction": F.coalesce(stated, F.lit(T.DEFAULT_CONVICTION)),
         "is_default": stated.isNull(), "event_risk": T.event_risk(F.col(text)),
-        "summary": T.summary(F.col(text))})
+        "summary": T.summary(F.col(text), T.SUMMARY_LENGTH if display else None)})
 
 
-def _split_batches(batches: DataFrame) -> DataFrame:
+def _split_batches(batches: DataFrame, display: bool = False) -> DataFrame:
     """Order line and sections of each answer, kept inside the row: nothing is shuffled."""
     body = F.col("text")
     order = T.first_group(body, T.ORDER_LINE)
     expected = F.transform("expected_tickers", F.upper)
+    shown = lambda c, n: F.substring(c, 1, n) if display else c
     rows = batches.withColumns({
         "expected": expected,
-        "lot_reading": F.substring(T.strip(T.first_group(body, T.LOT_READING)), 1, 2000),
-        "order_line": F.substring(T.strip(order), 1, 200),
+        "lot_reading": shown(T.strip(T.first_group(body, T.LOT_READING)), T.READING_LENGTH),
+        "order_line": shown(T.strip(order), T.ORDER_LENGTH),
         "_named": F.coalesce(F.regexp_extract_all(F.upper(order), F.lit(T.TICKER), 0),
                              F.expr("CAST(array() AS ARRAY<STRING>)")),
         "_parts": F.split(body, T.SECTION)})
@@ -58,13 +59,14 @@ def _split_batches(batches: DataFrame) -> DataFrame:
         "_ranked": F.array_distinct(F.filter("_named", lambda t: F.array_contains("expected", t)))})
 
 
-def extract_batch_opinions(batches: DataFrame) -> DataFrame:
+def extract_batch_opinions(batches: DataFrame, display: bool = False) -> DataFrame:
     """One row per recognised ticker of each answer with its fields.
 
     A ticker's rank comes from the order line, or, when that names nobody, from the order of the
-    sections. The last section of a ticker counts, its first one gives its place.
+    sections. The last section of a ticker counts, its first one gives its place. Texts are whole unless
+    ``display`` asks for the lengths that listings show.
     """
-    rows = _split_batches(batches)
+    rows = _split_batches(batches, display)
     placed = rows.select(
         *batches.columns, "lot_reading", "order_line", "_ranked",
         F.array_distinct(F.transform("_sections", lambda s: s["ticker"])).alias("_seen"),
@@ -77,7 +79,7 @@ def extract_batch_opinions(batches: DataFrame) -> DataFrame:
     kept = [c for c in batches.columns if c not in ("expected_tickers", "text")]
     return extract_fields(placed.select(
         *kept, "ticker", F.col("body").alias("text"), rank.cast("int").alias("ai_rank"),
-        "lot_reading", "order_line"))
+        "lot_reading", "order_line"), display=display)
 
 
 def parse_outcome(batches: DataFrame) -> DataFrame:

@@ -16,15 +16,19 @@ TICKER_PATTERN = r"^[A-Z0-9.\-^]{1,15}$"
 MONEY = "decimal(18,4)"
 
 
-def search_instruments(instruments: DataFrame, query: str = "", limit: int = 500) -> DataFrame:
-    """Instruments whose ticker or name contains the query; exact and prefix matches first."""
+def search_instruments(instruments: DataFrame, query: str = "", limit: int | None = None) -> DataFrame:
+    """Instruments whose ticker or name contains the query; exact and prefix matches first.
+
+    ``limit`` is the caller's page size, all by default.
+    """
     text = query.strip().upper()
     ticker, name = F.upper("ticker"), F.upper("name")
     place = F.when(ticker == text, 0).when(ticker.startswith(text), 1) \
         .when(name.startswith(text), 2).otherwise(3)
     rows = instruments.where(ticker.contains(text) | X.is_true(name.contains(text)))
     order = [place, F.col("ticker")] if text else [F.col("ticker")]
-    return rows.orderBy(*order).limit(limit).select(
+    rows = rows.orderBy(*order)
+    return (rows if limit is None else rows.limit(limit)).select(
         "ticker", F.coalesce("name", F.lit("")).alias("name"),
         F.coalesce("sector", F.lit("—")).alias("sector"))
 
