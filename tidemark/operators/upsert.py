@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.operators.asof import one_per_key
-from tidemark.session import stage
+from tidemark.session import stage, staging
 
 
 def newest(delta: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -80,16 +80,11 @@ def month_of(column: str = "date") -> Column:
 
 def write_partitioned(df: DataFrame, path: str, partition: str, mode: str = "overwrite") -> None:
     """Overwrite only the partitions present in ``df``; the rest of the table stays."""
-    (df.repartition(partition, *_spread(df, partition)).write
+    # Spark splits large partition values over several writers and keeps small ones in one.
+    (df.hint("rebalance", partition).write
        .option("partitionOverwriteMode", "dynamic").mode(mode).partitionBy(partition).parquet(path))
 
 
-def _spread(df: DataFrame, partition: str) -> list[Column]:
-    # One partition value may hold most rows: several writers share it.
-    others = [c for c in df.columns if c != partition]
-    return [F.pmod(F.hash(*others), F.lit(16))]
-
-
 def upsert_table(spark: SparkSession, path: str, delta: DataFrame, keys: list[str],
                  date: str = "date") -> None:
     """Merge an increment into a table partitioned by month, touching only its months.
@@ -97,13 +92,21 @@ def upsert_table(spark: SparkSession, path: str, delta: DataFrame, keys: list[st
     The list of months is short whatever the size of the increment; it prunes the read to those
     partitions. The merged months are staged before they overwrite the partitions they came from.
     """
-    delta = stage(delta.withColumn("month", month_of(date)), "delta")
-    months = [r.month for r in delta.select("month").distinct().collect()]
-    touched = spark.read.parquet(path).where(F.col("month").isin(months))
-    write_partitioned(stage(merge(touched, delta, keys), "upsert"), path, "month")
+    with staging(spark):
+        delta = stage(delta.withColumn("month", month_of(date)), "delta")
+        months = [r.month for r in delta.select("month").distinct().collect()]
+        touched = spark.read.parquet(path).where(F.col("month").isin(months))
+        write_partitioned(stage(merge(touched, delta, keys), "upsert"), path, "month")
 
 
-def replace_day(df: DataFrame, path: str, day_column: str) -> None:
-    """Replace the days present in ``df`` (a short report each) in a table partitioned by day."""
+def replace_day(df: DataFrame, path: str, day_column: str, emptied: list[str] | None = None) -> None:
+    """Replace the days present in ``df`` (a short report each) in a table partitioned by day.
+
+    ``emptied`` lists days whose new report has no rows: what is stored for them goes.
+    """
+    spark = df.sparkSession
+    for day in emptied or []:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path, f"{day_column}={day}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     (df.repartition(day_column).write.option("partitionOverwriteMode", "dynamic").mode("overwrite")
        .partitionBy(day_column).parquet(path))

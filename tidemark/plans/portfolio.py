@@ -8,6 +8,7 @@ possible entries at once. Only slots and cash are sequential; that fold reads at
 from __future__ import annotations
 
 import datetime as dt
+import json
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -20,10 +21,11 @@ from tidemark.operators.exits import first_exit
 from tidemark.operators.ranking import top_per_group
 from tidemark.plans import context, measures, ranking
 from tidemark.session import stage
+from tidemark.shipping import ship_package
 
-MAX_CONFIGS = 1000
 CONFIG_SCHEMA = "config_id string, max_positions int, sma_period int, min_mom_r2 double, " \
     "start date, end date"
+_CONFIG_FIELDS = ", ".join(f"{name}: {kind}" for name, kind in (f.split() for f in CONFIG_SCHEMA.split(", ")))
 
 
 @dataclass(frozen=True)
@@ -37,6 +39,10 @@ class Config:
     start: dt.date | None = None
     end: dt.date | None = None
 
+    def __post_init__(self) -> None:
+        if self.sma_period not in (150, 200):
+            raise ValueError(f"sma_period is 150 or 200, not {self.sma_period}")
+
 
 @dataclass(frozen=True)
 class Backtest:
@@ -60,12 +66,9 @@ def config_frame(spark, configs: list[Config]) -> DataFrame:
 
 def each_config(df: DataFrame, configs: list[Config]) -> DataFrame:
     """One copy of each row per configuration, with the configuration's columns."""
-    if len(configs) > MAX_CONFIGS:
-        raise ValueError(f"at most {MAX_CONFIGS} configurations per run")
-    fields = [(f.split()[0], f.split()[1]) for f in CONFIG_SCHEMA.split(", ")]
-    items = [F.struct(*[F.lit(v).cast(kind).alias(name)
-                        for (name, kind), v in zip(fields, asdict(c).values())]) for c in configs]
-    return df.withColumn("_config", F.explode(F.array(*items))).select(*df.columns, "_config.*")
+    # One constant however many there are: a literal per field would swell the plan.
+    items = F.from_json(F.lit(json.dumps([asdict(c) for c in configs], default=str)), f"array<struct<{_CONFIG_FIELDS}>>")
+    return df.withColumn("_config", F.explode(items)).select(*df.columns, "_config.*")
 
 
 def timeline(ind: DataFrame, configs: list[Config]) -> DataFrame:
@@ -148,6 +151,7 @@ def hybrid_backtest(ind: DataFrame, configs: list[Config], instruments: DataFram
                     force: DataFrame | None = None, macro: DataFrame | None = None) -> Backtest:
     """Trades, weekly equity, weekly holdings and weekly log of every configuration."""
     spark = ind.sparkSession
+    ship_package(spark)  # the fold runs in Python workers
     grid = config_frame(spark, configs)
     # Read by several steps below: one row per sector, zone and day, and per zone and day.
     force = None if force is None else stage(force, "force")

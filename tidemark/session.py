@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,6 +66,18 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that are staged inside, once the jobs in the block are done or have failed."""
+    global _staged
+    outer, _staged = _staged, []
+    try:
+        yield
+    finally:
+        drop_staged(spark)
+        _staged = outer
+
+
 def drop_staged(spark: SparkSession) -> int:
     """Delete the tables staged so far; call it when results built on them are stored."""
     path_of = spark._jvm.org.apache.hadoop.fs.Path

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from tidemark import schemas as S
 from tidemark.operators.upsert import month_of, newest, upsert_table, write_partitioned
 from tidemark.plans.analysis import INDICATORS, indicators
-from tidemark.session import stage
+from tidemark.session import stage, staging
 from tidemark.sources import landed as L
 
 KEYS = ["ticker", "date"]
@@ -54,11 +54,14 @@ def ingest_bars(spark: SparkSession, landing: str, table: str, checkpoint: str,
     run_available(landing_stream(spark, landing, S.BARS, files_per_batch), apply, checkpoint)
 
 
-def refresh_tail(spark: SparkSession, bars: DataFrame, tickers: DataFrame, table: str,
-                 as_of: dt.date) -> None:
-    """Recompute the newest days of the given tickers from a bounded history and store them."""
-    context = L.incremental_slice(bars, as_of).join(tickers, "ticker", "left_semi")
-    fresh = L.rows_to_save(indicators(context), as_of).select("ticker", "date", *INDICATORS)
+def refresh_from(spark: SparkSession, bars: DataFrame, tickers: DataFrame, table: str, since: dt.date) -> None:
+    """Recompute every day from ``since`` on of the given tickers and store it.
+
+    A changed bar moves all later indicators, so the stored table equals one computed anew. Whole
+    history is read for the touched tickers alone: running values have no last row that matters.
+    """
+    context = bars.join(tickers, "ticker", "left_semi").drop("month")
+    fresh = indicators(context).where(F.col("date") >= F.lit(since)).select("ticker", "date", *INDICATORS)
     upsert_table(spark, table, fresh, KEYS)
 
 
@@ -66,10 +69,10 @@ def ingest_and_refresh(spark: SparkSession, landing: str, bars_table: str, indic
                        checkpoint: str, files_per_batch: int = 1000) -> None:
     """Upsert landed bars, then refresh the indicators of the touched tickers."""
     def apply(batch: DataFrame, _: int) -> None:
-        delta = stage(L.landed_bars(increment(batch)), "delta")
-        upsert_table(spark, bars_table, delta, KEYS)
-        bars = spark.read.parquet(bars_table)
-        as_of = bars.agg(F.max("date")).first()[0]
-        if as_of is not None:
-            refresh_tail(spark, bars, delta.select("ticker").distinct(), indicator_table, as_of)
+        with staging(spark):
+            delta = stage(L.landed_bars(increment(batch)), "delta")
+            upsert_table(spark, bars_table, delta, KEYS)
+            since = delta.agg(F.min("date")).first()[0]
+            if since is not None:
+                refresh_from(spark, spark.read.parquet(bars_table), delta.select("ticker").distinct(), indicator_table, since)
     run_available(landing_stream(spark, landing, S.BARS, files_per_batch), apply, checkpoint)
