@@ -41,30 +41,45 @@ class WaveletMatrix:
             self.levels.append((Bits(ones), int(len(ones) - ones.sum())))
             symbols = np.concatenate([symbols[~ones], symbols[ones]])
 
-    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Number of places before ``at`` that hold ``symbol``."""
-        begin = np.zeros(len(at), np.int64)
+        # Where each symbol's places begin after the last level: the same for every rank of it.
+        every = np.arange(1 << depth)
+        self.begin = self._descend(every, np.zeros(len(every), np.int64)) if len(symbols) else np.zeros(1 << depth, np.int64)
+
+    def _descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for level, (bits, zeros) in enumerate(self.levels):
             one = (symbol >> (self.depth - 1 - level) & 1).astype(bool)
-            a, b = bits.rank(begin), bits.rank(at)
-            begin, at = np.where(one, zeros + a, begin - a), np.where(one, zeros + b, at - b)
-        return at - begin
+            ones = bits.rank(at)
+            at = np.where(one, zeros + ones, at - ones)
+        return at
+
+    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Number of places before ``at`` that hold ``symbol``."""
+        return self._descend(symbol, at) - self.begin[symbol]
 
 
 def _dense(values: np.ndarray) -> np.ndarray:
     return np.unique(values, return_inverse=True)[1].astype(np.int64)
 
 
-def _ranks(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks of all suffixes by their first ``depth - 1`` and ``depth`` symbols (prefix doubling)."""
+def _order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes by their first ``depth`` symbols, and whether each shares ``depth - 1`` with the one before.
+
+    Ranks by a few packed symbols are doubled as long as needed; the last step overlaps.
+    """
     n = len(symbols)
+    bits = int(symbols.max() + 1).bit_length()
     at = lambda r, d: np.append(r[d:], np.full(min(d, n), -1)) + 1
-    rank, have = _dense(symbols), 1
-    while 2 * have < depth:
+    have = max(1, min(62 // bits, depth - 1))
+    packed = symbols + 1
+    for d in range(1, have):
+        packed = (packed << bits) | at(symbols, d)
+    rank = _dense(packed)
+    while 2 * have < depth - 1:
         rank = _dense(rank * (n + 2) + at(rank, have))
         have *= 2
-    pair = lambda want: _dense(rank * (n + 2) + at(rank, want - have)) if want > have else rank
-    return pair(depth - 1), pair(depth)
+    order = np.argsort(rank * (n + 2) + at(rank, depth - have))
+    first, rest = rank[order], at(rank, depth - 1 - have)[order]
+    return order, np.append(False, (first[1:] == first[:-1]) & (rest[1:] == rest[:-1]))
 
 
 class FMIndex:
@@ -76,21 +91,20 @@ class FMIndex:
 
     def __init__(self, symbols: np.ndarray, depth: int):
         self.depth = depth
-        shorter, longer = _ranks(symbols, depth)
-        self.order = np.argsort(longer, kind="stable")
+        self.order, shares = _order(symbols, depth)
         last = symbols[self.order - 1]
         last[self.order == 0] = 0
         self.below = np.append(0, np.cumsum(np.bincount(symbols)))
         self.tree = WaveletMatrix(last, max(1, int(symbols.max()).bit_length()))
-        group = shorter[self.order]
-        heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        which = np.cumsum(np.append(0, group[1:] != group[:-1]))
+        heads = np.flatnonzero(~shares)
+        which = np.cumsum(~shares) - 1
         self.parent_low = heads[which]
-        self.parent_high = np.append(heads[1:], len(group))[which]
+        self.parent_high = np.append(heads[1:], len(shares))[which]
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranges of the patterns with one more symbol in front."""
-        return self.below[symbol] + self.tree.rank(symbol, low), self.below[symbol] + self.tree.rank(symbol, high)
+        both = self.tree.rank(np.append(symbol, symbol), np.append(low, high)) + np.append(self.below[symbol], self.below[symbol])
+        return both[: len(symbol)], both[len(symbol):]
 
     def statistics(self, symbols: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics of streamed texts ``symbols[begin:stop]``: length and range at each place.
