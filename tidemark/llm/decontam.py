@@ -44,9 +44,12 @@ def _template(token: Column, place: Column) -> Column:
     A name is a word with a capital letter that does not begin a sentence or the text.
     """
     opens = (place == 0) | token.rlike(_OPENS)
-    return _let(_value(token), lambda v: F.when(v.rlike(r"^\p{N}"), "<n>")
-                .when(F.lower(v).isin(*UNITS) | v.rlike(r"^[%$€£°]"), "<u>")
-                .when(v.rlike(r"^\p{Lu}") & ~opens, "<x>").otherwise(F.lower(v)))
+    kind = lambda lower, other: F.when(lower.isin(*UNITS), "<u>").otherwise(other)
+    plain = _let(F.lower(token), lambda low: kind(low, low))
+    full = _let(_value(token), lambda v: F.when(v.rlike(r"^\p{N}"), "<n>").when(v.rlike(r"^[%$€£°]"), "<u>")
+                .otherwise(kind(F.lower(v), F.when(v.rlike(r"^\p{Lu}") & ~opens, "<x>").otherwise(F.lower(v)))))
+    # Most tokens begin with a to z: no sentence end before them, no number, no name.
+    return F.when((token >= "a") & (token < "{"), plain).otherwise(full)
 
 
 def _canonical(docs: DataFrame, key: str, text: str, name: str) -> DataFrame:
