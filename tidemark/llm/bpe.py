@@ -18,7 +18,9 @@ from tidemark.llm.words import blobs, blocks, ragged
 from tidemark.shipping import ship_package
 
 #: Bytes of text whose new words are replayed together.
-REPLAY_BYTES = 8 << 20
+REPLAY_BYTES = 4 << 20
+#: Pieces whose ids a worker keeps: some 50 MB, which stay with it when the next stage runs there.
+CACHED_PIECES = 200_000
 _NONE = np.int64(1) << 40
 
 
@@ -161,7 +163,7 @@ class Merges:
 @lru_cache(maxsize=2)
 def _cache(path: str, pattern: str) -> tuple[Merges, PieceCache]:
     merges = Merges.load(path, pattern)
-    return merges, PieceCache(merges.encode)
+    return merges, PieceCache(merges.encode, CACHED_PIECES)
 
 
 def bpe_round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text",
@@ -173,7 +175,7 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id"
     read, so repeated keys stay; an empty table gives an empty result and other columns are ignored.
 
     Merges never cross a word, so each task replays them over the distinct words of a stretch of
-    its documents (8 MB of text, the vocabulary of which is what the inverted index covers) and
+    its documents (4 MB of text, the vocabulary of which is what the inverted index covers) and
     keeps the ids of words it has met. The ids are those of a replay over the whole corpus.
     """
     ship_package(docs.sparkSession)
