@@ -130,3 +130,30 @@ def test_kernels_on_one_shard():
     lost = earlier_windows(texts, n, np.array([4, 2]), np.array([0, 0]), np.array([1, 1]))
     assert [x.tolist() for x in lost] == [list(range(3, 11)), [1, 2, 3, 4, 5]]
     assert [len(x) for x in shared_windows([b"q" * 210], np.array([11]), np.array([1]), np.array([0]), np.array([1]))] == [11]
+
+
+def periodic(sizes, unit):
+    """One document per size and period, each with periodic text of its own among words of its own."""
+    rows = []
+    for size in sizes:
+        for period in range(1, 13):
+            i = len(rows)
+            words = [unit(i, j % period) for j in range(size)]
+            rows.append((i, "".join([*(f"a{i}x{j} " for j in range(30)), *words, *(f" b{i}x{j}" for j in range(30))])))
+    return rows
+
+
+def test_periodic_words_of_one_document(spark):
+    rows = periodic(range(21, 35), lambda i, j: f"p{i}q{j} ")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = plain_words(rows)
+    assert sum(x[2] for x in want) > 0
+    assert sorted(map(tuple, word_windows(docs).collect())) == want
+
+
+def test_periodic_bytes_of_one_document(spark):
+    rows = periodic((201, 202, 207, 212, 230, 260, 300, 340, 375, 376), lambda i, j: chr(0x21 + (i * 7 + j * 5) % 90))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = plain_bytes(rows)
+    assert sum(x[2] for x in want) > 0
+    assert sorted(map(tuple, byte_windows(docs).collect())) == want

@@ -2,8 +2,8 @@
 
 A document is a sequence of units (bytes, or words by their hashes). All windows of ``size``
 units whose smallest gram hash is the same, one after another, make a stretch. Equal windows have
-equal smallest grams, so they meet under one key; a stretch whose key occurs once holds no repeated
-window and is not moved any further. Stretches of equal content are one phrase with its first
+equal smallest grams, so they meet under one key; a stretch whose key occurs once, with its smallest
+gram in one place, holds no repeated window and is not moved any further. Stretches of equal content are one phrase with its first
 place and its number of places. An index per shard of phrases (``fmindex``, ``pfp``) then tells which
 windows of a phrase occur elsewhere.
 """
@@ -57,6 +57,21 @@ class _Powers:
 POWERS = _Powers()
 
 
+def _twice(values: np.ndarray, wanted: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Whether each wanted value stands at two or more places of ``begin`` .. ``stop - 1``."""
+    low = np.uint64(0xFFFF)
+    maybe = np.zeros(1 << 16, bool)
+    maybe[wanted & low] = True
+    at = np.flatnonzero(maybe[values & low])
+    known, number = np.unique(wanted, return_inverse=True)
+    found = np.minimum(np.searchsorted(known, values[at]), len(known) - 1)
+    same = known[found] == values[at]
+    step = len(values) + 1
+    places = np.sort(found[same] * step + at[same])
+    second = np.searchsorted(places, number * step + begin) + 1
+    return np.append(places, np.iinfo(np.int64).max)[np.minimum(second, len(places))] < number * step + stop
+
+
 @dataclass(frozen=True)
 class Units:
     """What a window counts: ``size`` units, routed by the smallest hash of ``gram`` units."""
@@ -67,7 +82,7 @@ class Units:
 
     @property
     def self_repeats(self) -> int:
-        """A stretch of more windows may hold the same window twice: its smallest gram stands in two places."""
+        """Grams of a window. A stretch of more windows has its smallest gram in two places; a shorter one may."""
         return self.size - self.gram + 1
 
     def hashes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +107,10 @@ class Units:
         return out, first, last
 
     def stretches(self, texts: list[bytes]) -> dict[str, np.ndarray]:
-        """Text number, first window, number of windows, key and content hash of all stretches."""
+        """Text number, first window, number of windows, key and content hash of all stretches.
+
+        ``twice`` marks those with their smallest gram in two places: only they may hold the same window twice.
+        """
         values, first, last = self.hashes(texts)
         empty = np.zeros(0, np.int64)
         least = window_min(values, self.self_repeats) if len(values) >= self.self_repeats else empty
@@ -100,7 +118,8 @@ class Units:
         stop_of = last - self.size + 1
         texts_with = np.flatnonzero(stop_of > first)
         if not len(texts_with):
-            return {"text": empty, "start": empty, "n": empty, "key": empty, "tag": empty}
+            return {"text": empty, "start": empty, "n": empty, "key": empty, "tag": empty,
+                    "twice": np.zeros(0, bool)}
         new = np.empty(len(least), bool)
         new[0] = True
         np.not_equal(least[1:], least[:-1], out=new[1:])
@@ -122,7 +141,8 @@ class Units:
         total = np.append(np.uint64(0), np.cumsum(values * up[: len(values)]))
         tag = mix((total[stop] - total[begin]) * down[begin] + count.astype(np.uint64))
         return {"text": owner, "start": begin - first[owner], "n": count,
-                "key": mix(least[head]).view(np.int64), "tag": tag.view(np.int64)}
+                "key": mix(least[head]).view(np.int64), "tag": tag.view(np.int64),
+                "twice": _twice(values, least[head], begin, stop)}
 
     def cut(self, text: bytes, words: Words | None, start: int, n: int) -> bytes:
         """Bytes of a stretch."""
@@ -167,13 +187,13 @@ def repeated_stretches(docs: DataFrame, units: Units, kernel: Kernel, keep_first
                 found = units.stretches(texts[part])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found["key"]), pa.array(found["tag"]), pa.array(ids[part][found["text"]]),
-                     pa.array(found["start"].astype(np.int32)), pa.array(found["n"].astype(np.int16))],
-                    ["key", "tag", "doc", "start", "n"])
+                     pa.array(found["start"].astype(np.int32)), pa.array(found["n"].astype(np.int16)), pa.array(found["twice"])],
+                    ["key", "tag", "doc", "start", "n", "twice"])
 
-    stretches = source.mapInArrow(cut, "key long, tag long, doc long, start int, n short")
-    shared = (stretches.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("longest"))
-              .where((F.col("c") > 1) | (F.col("longest") > units.self_repeats)).select("key"))
-    places = stage(stretches.join(shared, "key", "left_semi"), "places")
+    stretches = source.mapInArrow(cut, "key long, tag long, doc long, start int, n short, twice boolean")
+    shared = (stretches.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("twice").alias("twice"))
+              .where((F.col("c") > 1) | F.col("twice")).select("key"))
+    places = stage(stretches.drop("twice").join(shared, "key", "left_semi"), "places")
     phrases = (places.groupBy("key", "tag").agg(F.min(F.struct("doc", "start")).alias("first"), F.max("n").alias("n"),
                                                 F.count(F.lit(1)).alias("places")))
     wanted = (phrases.select(F.col("first.doc").alias("doc"), F.struct("key", "tag", F.col("first.start").alias("start"), "n", "places").alias("p"))
