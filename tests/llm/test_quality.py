@@ -1,3 +1,4 @@
+import base64
 import random
 import re
 from collections import Counter
@@ -57,6 +58,23 @@ def test_bands():
     assert compression(b"", z) == (1.0, 0, 0, 0, "ok")
 
 
+def test_encoded_noise():
+    z = zstandard.ZstdCompressor(level=3)
+    r = random.Random(7)
+    words = ["".join(r.choices("etaoinshrdlu", k=r.randint(2, 8))) for _ in range(3000)]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n)).encode()[:n]
+    noise = lambda n, encode=base64.b64encode: encode(r.randbytes(n))[:n]
+    for size in (256, 383, 384, 511, 512, 1023, 1024, 2500, 4095, 4096, 9000, 40000):
+        for encode in (base64.b64encode, base64.encodebytes, base64.b85encode):
+            assert compression(noise(size, encode), z)[4] == "incompressible", (size, encode)
+        assert compression(prose(size), z)[4] == "ok", size
+    # Most chunks are base64, which the whole does not show.
+    parts = [noise(CHUNK_BYTES), prose(CHUNK_BYTES), noise(CHUNK_BYTES), prose(CHUNK_BYTES), noise(CHUNK_BYTES)]
+    _, n, _, bad, verdict = compression(b"".join(parts * 4), z)
+    assert (n, bad, verdict) == (20, 12, "incompressible_chunks")
+    assert compression(b"".join(parts[:4] * 4), z)[4] == "ok"  # half is not most
+
+
 def test_registered_query(spark):
     got = op10_quality_rules(spark, "/root/testdata/sf0.001")
     assert "text" not in got.columns
