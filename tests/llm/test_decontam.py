@@ -33,6 +33,18 @@ def test_case_and_punctuation(spark):
     assert got[1, 2].kind == "verbatim"
 
 
+def test_items_of_few_plain_words(spark):
+    items = ["What is 12 + 7 * 3 - 4 / 2 + 9 * 8 - 6 + 15 * 2?", "Evaluate 3 + 5 * 2 - 8 / 4 + 7 * 6",
+             "Who was older when Apollo 11 landed in 1969: Neil Armstrong or Buzz Aldrin, Michael Collins or Gene Kranz?"]
+    pairs = [*enumerate(items)]
+    docs = [(i, FILL + x + " " + FILL) for i, x in pairs] + [(10 + i, FILL + x.lower()) for i, x in pairs]
+    # Other numbers and names are other questions: nothing but placeholders is left of these windows.
+    docs += [(20, FILL + items[0].replace("1", "5").replace("7", "6").replace("9", "4")), (21, FILL + "Evaluate 4 + 9 * 3 - 7 / 5 + 2 * 8")]
+    got = found(spark, docs, pairs)
+    assert set(got) == {(i, i) for i in range(3)} | {(10 + i, i) for i in range(3)}
+    assert {x.kind for x in got.values()} == {"verbatim"}
+
+
 def test_repeated_rows_and_ties(spark):
     got = found(spark, [(1, ITEM + " " + ITEM), (1, ITEM), (None, ITEM), (2, ("word " * 60000) + ITEM)], [(1, ITEM), (7, ITEM), (None, ITEM)])
     assert set(got) == {(1, 1), (1, 7), (2, 1), (2, 7)}

@@ -52,17 +52,24 @@ def _template(token: Column, place: Column) -> Column:
     return F.when((token >= "a") & (token < "{"), plain).otherwise(full)
 
 
+def _literal(token: Column) -> Column:
+    """The token as it stands, in lower case."""
+    return F.lower(F.when((token >= "a") & (token < "{"), token).otherwise(_value(token)))
+
+
 def _canonical(docs: DataFrame, key: str, text: str, name: str) -> DataFrame:
-    """Key, token values, templates and their hashes of every row with a key."""
+    """Key, token values and the hashes of their templates and of themselves of every row with a key."""
     rows = docs.where(docs[key].isNotNull()).select(docs[key].alias(name), tokens(docs[text]).alias("t"))
-    return rows.select(name, "t", F.transform("t", lambda t, i: F.xxhash64(_template(t, i))).alias("hash"))
+    return rows.select(name, "t", F.transform("t", lambda t, i: F.xxhash64(_template(t, i))).alias("hash"),
+                       F.transform("t", lambda t: F.xxhash64(_literal(t))).alias("literal"))
 
 
 def _windows(rows: DataFrame, width: int, name: str) -> DataFrame:
-    """Key, place and hash of every window of ``width`` tokens."""
+    """Key, place, hash of templates (``w``) and of literal tokens (``v``) of every window of ``width`` tokens."""
+    of = lambda c: F.xxhash64(*[F.get(c, F.col("pos") + j) for j in range(width)])
     return (rows.where(F.size("hash") >= width)
-            .select(name, "hash", F.explode(F.sequence(F.lit(0), F.size("hash") - width)).alias("pos"))
-            .select(name, "pos", F.xxhash64(*[F.get("hash", F.col("pos") + j) for j in range(width)]).alias("w")))
+            .select(name, "hash", "literal", F.explode(F.sequence(F.lit(0), F.size("hash") - width)).alias("pos"))
+            .select(name, "pos", of("hash").alias("w"), of("literal").alias("v")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
@@ -73,8 +80,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     (``verbatim`` or ``reparameterised``).
 
     Both sides become templates: numbers, units and names (capitalised inside a sentence) are placeholders,
-    other words are lower-cased, punctuation does not count. Template windows of 8 tokens are joined by hash;
-    windows of which less than half are words are not used. Matches of one document and item whose places
+    other words are lower-cased, punctuation does not count. Windows of 8 tokens are joined by the hash of their
+    templates; item windows of which less than half are words, by that of their tokens in lower case. Matches of one document and item whose places
     differ by the same amount belong together. They count when they are at least 6 windows, or half of
     the item's, and when their slots are consistent: one value of the item always stands for
     one value in the document and the other way round. Of several passages the one with most windows
@@ -94,13 +101,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     hits = None
     for width in widths:  # at most 5 different widths
         own = items.where(F.size("hash") >= width) if width == WINDOW else items.where(F.size("hash") == width)
+        worded = 2 * F.aggregate(F.slice("plain", F.col("pos") + 1, F.lit(width)), F.lit(0), lambda a, x: a + x) >= width
         windows = (_windows(own, width, "item").join(own.select("item", "plain"), "item")
-                   .where(2 * F.aggregate(F.slice("plain", F.col("pos") + 1, F.lit(width)), F.lit(0), lambda a, x: a + x) >= width)
-                   .select("item", F.col("pos").alias("item_pos"), "w", F.size("plain").alias("size")).distinct())
+                   .select("item", F.col("pos").alias("item_pos"), F.when(worded, F.col("w")).otherwise(F.col("v")).alias("w"),
+                           F.size("plain").alias("size")).distinct())
         distinct = windows.select("w").distinct()
         if distinct.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
             distinct = F.broadcast(distinct)
-        found = _windows(left, width, "doc").join(distinct, "w", "left_semi").join(windows, "w").withColumn("width", F.lit(width))
+        # A window of plain words has one hash for both.
+        either = _windows(left, width, "doc").select("doc", "pos", F.explode(F.array_distinct(F.array("w", "v"))).alias("w"))
+        found = either.join(distinct, "w", "left_semi").join(windows, "w").withColumn("width", F.lit(width))
         hits = found if hits is None else hits.unionByName(found)
 
     runs = (hits.withColumn("shift", F.col("pos") - F.col("item_pos"))
