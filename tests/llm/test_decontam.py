@@ -45,6 +45,19 @@ def test_items_of_few_plain_words(spark):
     assert {x.kind for x in got.values()} == {"verbatim"}
 
 
+def test_long_literal_run_beside_an_altered_name(spark):
+    item = ("In the morning the old farmer Boston walked over to the market and sold four baskets of apples for two coins each, "
+            "then he bought some bread for the family and went home again, so how many coins did farmer Boston still have left?")
+    altered = item.replace("Boston", "Denver", 1)
+    got = found(spark, [(1, FILL + altered + " " + FILL), (2, FILL + item)], [(1, item)])
+    assert set(got) == {(1, 1), (2, 1)}
+    words = lambda t: len(re.findall(r"[^\W_]+", t))
+    start = words(FILL + altered[: altered.index("Denver") + 6])
+    assert (got[1, 1].first_token, got[1, 1].last_token) == (start, words(FILL + altered) - 1)
+    assert (got[1, 1].kind, got[1, 1].changed) == ("verbatim", 0)
+    assert got[1, 1].n_windows == got[1, 1].last_token - start + 1 - 7
+
+
 def test_repeated_rows_and_ties(spark):
     got = found(spark, [(1, ITEM + " " + ITEM), (1, ITEM), (None, ITEM), (2, ("word " * 60000) + ITEM)], [(1, ITEM), (7, ITEM), (None, ITEM)])
     assert set(got) == {(1, 1), (1, 7), (2, 1), (2, 7)}

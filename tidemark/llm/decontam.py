@@ -12,6 +12,8 @@ WINDOW = 8
 LEAST_TOKENS = 4
 #: Windows of an item that must match one after the other's place; half of them for an item of few windows.
 MATCHED_WINDOWS = 6
+#: So many tokens of an item one after another as they stand count whatever the slots around them: two windows end to end.
+LITERAL_TOKENS = 2 * WINDOW
 #: Benchmark windows that are broadcast; a larger benchmark, counted first, is joined by shuffle.
 BROADCAST_WINDOWS = 500_000
 #: Words that are units of measure and become a placeholder after a number or alone.
@@ -84,7 +86,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     templates; item windows of which less than half are words, by that of their tokens in lower case. Matches of one document and item whose places
     differ by the same amount belong together. They count when they are at least 6 windows, or half of
     the item's, and when their slots are consistent: one value of the item always stands for
-    one value in the document and the other way round. Of several passages the one with most windows
+    one value in the document and the other way round. Of a stretch with inconsistent slots, the longest run of
+    literally equal tokens counts if it has 16 or more. Of several passages the one with most windows
     is reported, then the first.
 
     Rows without a key, missing and empty texts match nothing; repeated document keys are one document
@@ -126,10 +129,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         _template(F.get("item_t", p - F.col("shift")), p - F.col("shift")).alias("item_kind"),
         F.lower(_value(F.get("item_t", p - F.col("shift")))).alias("i"))),
         lambda s: s["kind"].startswith("<") & (s["kind"] == s["item_kind"]))
+
+    def longest(run: Column, p: Column) -> Column:
+        """Length of the literal run that ends at ``p``, and the longest so far with its last token."""
+        n = F.when(_literal(F.get("doc_t", p)) == _literal(F.get("item_t", p - F.col("shift"))), run["n"] + 1).otherwise(0)
+        return _let(n, lambda m: F.struct(m.alias("n"), F.greatest(run["best"], m).alias("best"), F.when(m > run["best"], p).otherwise(run["end"]).alias("end")))
+
     judged = (placed.withColumn("slots", F.array_distinct(pairs))
               .withColumn("consistent", (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["d"])))))
                           & (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["i"]))))))
-              .where("consistent")
+              .withColumn("run", F.when(~F.col("consistent"), F.aggregate(
+                  at, F.struct(F.lit(0).alias("n"), F.lit(0).alias("best"), F.lit(-1).alias("end")), longest)))
+              .where(F.col("consistent") | (F.col("run.best") >= LITERAL_TOKENS)))
+    # An inconsistent stretch is cut down to its longest literal run.
+    whole = lambda c, run: F.when(F.col("consistent"), F.col(c)).otherwise(run)
+    judged = judged.withColumns({
+        "n_windows": whole("n_windows", F.col("run.best") - F.col("width") + 1),
+        "first": whole("first", F.col("run.end") - F.col("run.best") + 1), "last": whole("last", F.col("run.end"))})
+    judged = (judged.withColumn("slots", whole("slots", F.array_distinct(pairs)))
               .withColumn("changed", F.size(F.filter("slots", lambda s: s["d"] != s["i"]))))
     best = F.max(F.struct("n_windows", (-F.col("first")).alias("order"), F.col("last"), F.size("slots").alias("n_slots"), "changed"))
     return (judged.groupBy("doc", "item").agg(best.alias("b"))
