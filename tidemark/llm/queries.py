@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, cpsjoin, decontam, fmindex, frames, langid, linededup, pfp, quality, urls
+from tidemark.llm import bpe, cpsjoin, decontam, fmindex, frames, k2treap, langid, linededup, pfp, quality, urls
 
 QUERIES = {
     "op1_seekable_token_frames": frames.op1_seekable_token_frames,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_template_decontamination": decontam.op8_template_decontamination,
     "op9_pfp_dedup": pfp.op9_pfp_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_k2_treap_search": k2treap.op11_k2_treap_search,
 }
 
 ORACLES = {"op5_url_filters": urls.OP5_SQL}
