@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, cpsjoin, decontam, fmindex, frames, k2treap, langid, linededup, pfp, quality, secrets, urls
+from tidemark.llm import bpe, cpsjoin, decontam, dialogue, fmindex, frames, k2treap, langid, linededup, pfp, quality, secrets, urls
 
 QUERIES = {
     "op1_seekable_token_frames": frames.op1_seekable_token_frames,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_pfp_dedup": pfp.op9_pfp_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
     "op11_k2_treap_search": k2treap.op11_k2_treap_search,
+    "op12_conversation_repair": dialogue.op12_conversation_repair,
     "op13_secret_ledger": secrets.op13_secret_ledger,
 }
 
