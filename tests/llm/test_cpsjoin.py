@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -70,9 +71,10 @@ def test_large_nodes_branch_and_end_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, near_duplicates(docs).collect())) == plain(rows)
 
 
-@pytest.mark.parametrize("node", [64, 8])
-def test_linked_connects_what_all_pairs_connect(monkeypatch, node):
-    monkeypatch.setattr(cpsjoin, "LOCAL_NODE", node)
+@pytest.mark.parametrize("share, cells", [(8, 1 << 21), (2, 200), (40, 200)])
+def test_linked_connects_what_all_pairs_connect(monkeypatch, share, cells):
+    monkeypatch.setattr(cpsjoin, "DENSE_SHARE", share)
+    monkeypatch.setattr(cpsjoin, "BLOCK_CELLS", cells)
     for seed in range(20):
         r = random.Random(seed)
         base = r.sample(range(10**6), 60)
@@ -89,6 +91,27 @@ def test_linked_connects_what_all_pairs_connect(monkeypatch, node):
         assert classes(linked(sets)) == classes(every)
 
 
+@pytest.mark.parametrize("shared, own, links", [(70, 15, False), (76, 12, False), (84, 8, False), (169, 15, False), (170, 15, True), (34, 3, True)])
+def test_groups_about_the_threshold(shared, own, links):
+    """All pairs of a group have the similarity shared / (shared + 2 * own): none links, or all are one class."""
+    sets = [np.append(np.arange(shared), np.arange(own) + 10**7 + i * own).astype(np.uint64) for i in range(400)]
+    begin = time.perf_counter()
+    pairs = linked(sets)
+    assert time.perf_counter() - begin < 2
+    assert len(pairs) == (len(sets) - 1 if links else 0)
+
+
+def test_recall_on_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs).collect()}
+    sets = [(r.doc_id, x) for r in docs.collect() if (x := shingles(r.text))]
+    pairs = [(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[:i]
+             if 100 * min(len(x), len(y)) >= 85 * max(len(x), len(y)) and 100 * len(x & y) >= 85 * len(x | y)]
+    found = sum(got[a] == got[b] for a, b in pairs)
+    print(f"recall {found} of {len(pairs)} links")
+    assert len(pairs) > 50 and found >= 0.9 * len(pairs)
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(r.randint(200, 260), r.randint(200, 260)) for _ in range(40)] + [(5, 5)]

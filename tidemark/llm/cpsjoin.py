@@ -26,13 +26,11 @@ TOKENS = 32
 #: Branches that a document follows out of a node that is too large; two times 0.85 is above one, so the
 #: expected number of common branches of a linked pair does not shrink with depth.
 BRANCHES = 2
-#: Shingles of all documents of a node that are compared exhaustively in one task.
-NODE_SHINGLES = 2_000_000
+#: Sets times shingles of a node that are compared exhaustively in one task, and shingles at most.
+NODE_WORK, NODE_SHINGLES = 4_000_000_000, 2_000_000
 LEVELS = 6
-#: Inside a task, nodes of more sets branch on, by so many tokens at a time that a pair at the threshold
-#: parts in all of them with a chance of 0.15 ** 7.
-LOCAL_NODE = 64
-LOCAL_BRANCHES = 7
+#: A shingle that this share of a node's sets holds is compared by matrix products; cells of a block of them.
+DENSE_SHARE, BLOCK_CELLS = 8, 1 << 21
 
 _BLOCK = 1 << 17
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -77,67 +75,65 @@ class Links:
     """Links among sets in one task: enough pairs to connect all that are connected."""
 
     def __init__(self, sets: list[np.ndarray], percent: int = PERCENT):
-        self.percent = percent
-        self.size = np.fromiter(map(len, sets), np.int64, len(sets))
-        self.tokens = np.unique(np.concatenate(sets), return_inverse=True)[1] if sets else np.zeros(0, np.int64)
-        self.start = np.cumsum(self.size) - self.size
-        self.mark = np.zeros(int(self.tokens.max()) + 1 if len(self.tokens) else 1, np.int64)
-        self.label = np.arange(len(sets))
+        self.percent, self.n = percent, len(sets)
+        self.size = np.fromiter(map(len, sets), np.int64, self.n)
+        owner = np.repeat(np.arange(self.n), self.size)
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        first = np.flatnonzero(np.append(len(flat) > 0, flat[1:] != flat[:-1]))
+        held = np.diff(np.append(first, len(flat)))
+        # A token of one set is in no intersection. Those of many sets are columns of a dense matrix, the others
+        # lists of the sets that hold them, looked up from each set's own list of them.
+        many = held >= max(2, self.n // DENSE_SHARE)
+        few = (held > 1) & ~many
+        self.columns = np.split(owner[ragged(first[many], held[many])], np.cumsum(held[many])[:-1]) if many.any() else []
+        self.first, self.held, self.owner = first[few], held[few], owner
+        pairs = ragged(self.first, self.held)
+        token = np.repeat(np.arange(len(self.first)), self.held)
+        by_set = np.argsort(owner[pairs], kind="stable")
+        self.tokens = token[by_set]
+        self.begin = np.searchsorted(owner[pairs][by_set], np.arange(self.n + 1))
+        self.label = np.arange(self.n)
         self.pairs: list[tuple[int, int]] = []
 
-    def compare(self, members: np.ndarray) -> None:
-        """Exhaustive comparison of some of the sets.
-
-        Every pair that is not connected already is compared, unless sizes or the triangle inequality of the
-        Jaccard distance to earlier pivots rule a link out.
-        """
-        label, size, m = self.label, self.size[members], len(members)
-        tokens = self.tokens[ragged(self.start[members], size)]
-        owner = np.repeat(np.arange(m), size)
-        place = np.arange(m)
-        limit = 1 - self.percent / 100 + 1e-9
-        far: list[np.ndarray] = []
-        for p in range(m):
-            near = (label[members] != label[members[p]]) & (place > p)
-            near &= 100 * np.minimum(size, size[p]) >= self.percent * np.maximum(size, size[p])
-            for d in far:
-                near &= np.abs(d - d[p]) <= limit
-            if not near.any():
-                continue
-            mine = self.tokens[self.start[members[p]] : self.start[members[p]] + size[p]]
-            self.mark[mine] = 1
-            common = np.bincount(owner, self.mark[tokens], m).astype(np.int64)
-            self.mark[mine] = 0
-            union = size + size[p] - common
-            if len(far) < 16:
-                far.append(1 - common / np.maximum(union, 1))
-            for y in members[near & (100 * common >= self.percent * union)].tolist():
-                self.pairs.append((int(members[p]), y))
-                if label[y] != label[members[p]]:
-                    label[label == label[y]] = label[members[p]]
-
-    def branch(self, members: np.ndarray, minwise: np.ndarray, first: int = TREES) -> None:
-        """Branch by further minwise tokens, as long as more than LOCAL_NODE sets are together."""
-        if len(members) <= LOCAL_NODE or first + LOCAL_BRANCHES > TOKENS:
-            self.compare(members)
-            return
-        for j in range(first, first + LOCAL_BRANCHES):
-            order = members[np.argsort(minwise[members, j], kind="stable")]
-            value = minwise[order, j]
-            for part in np.split(order, np.flatnonzero(value[1:] != value[:-1]) + 1):
-                if (self.label[part] != self.label[part[0]]).any():
-                    self.branch(np.sort(part), minwise, first + LOCAL_BRANCHES)
+    def common(self, start: int, stop: int) -> np.ndarray:
+        """Sizes of the intersections of some of the sets with all sets."""
+        out = np.zeros((stop - start, self.n), np.float32)
+        step = max(1, BLOCK_CELLS // max(1, self.n))
+        for a in range(0, len(self.columns), step):
+            part = self.columns[a : a + step]
+            dense = np.zeros((self.n, len(part)), np.float32)
+            for j, sets in enumerate(part):
+                dense[sets, j] = 1
+            out += dense[start:stop] @ dense.T
+        for i in range(start, stop):
+            mine = self.tokens[self.begin[i] : self.begin[i + 1]]
+            if len(mine):
+                out[i - start] += np.bincount(self.owner[ragged(self.first[mine], self.held[mine])], minlength=self.n)
+        return out
+
+    def compare(self) -> list[tuple[int, int]]:
+        """Exhaustive comparison; ends when all sets are connected."""
+        step = max(1, BLOCK_CELLS // max(1, self.n))
+        for start in range(0, self.n, step):
+            stop = min(self.n, start + step)
+            if (self.label == self.label[0]).all():
+                break
+            common = self.common(start, stop).astype(np.int64)
+            link = 100 * common >= self.percent * (self.size[start:stop, None] + self.size - common)
+            for i in range(start, stop):
+                others = np.flatnonzero(link[i - start])
+                others = others[self.label[others] != self.label[i]]
+                for of, at in zip(*np.unique(self.label[others], return_index=True)):
+                    self.pairs.append((i, int(others[at])))
+                    self.label[self.label == of] = self.label[i]
+        return self.pairs
 
 
 def linked(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Pairs of places in ``sets`` that link and connect all that links connect."""
-    links = Links(sets, percent)
-    every = np.arange(len(sets))
-    if len(sets) <= LOCAL_NODE:
-        links.compare(every)
-    else:
-        links.branch(every, signatures(sets)[1])
-    return links.pairs
+    """Pairs of places in ``sets`` (none of them empty) that link and connect all that links connect."""
+    return Links(sets, percent).compare()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -151,10 +147,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     gives an empty result.
 
     Equal sets are one representative before anything is compared. Representatives branch by
-    minwise tokens into nodes (``TREES`` trees, one token each at the root); a node of more than
-    ``NODE_SHINGLES`` shingles branches again by tokens its number chooses, and what is still too large
-    after ``LEVELS`` branchings is compared block by block, so no pair of a node is dropped. Nodes with the
-    same members in several trees are compared once.
+    minwise tokens into nodes (``TREES`` trees, one token each at the root); a node beyond ``NODE_WORK`` or
+    ``NODE_SHINGLES`` branches again by tokens its number chooses. A node that is still too large after ``LEVELS``
+    branchings, or holds more than half of the node above it (branching does not part alike sets), is compared
+    block by block. Nodes and blocks are compared exhaustively, so no pair of a node is dropped. Nodes with the same members in several trees are compared once.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -181,38 +177,41 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
                     continue
                 tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint64).reshape(-1, TOKENS)
                 rep, size = batch.column("rep"), batch.column("n")
+                above = pa.nulls(len(batch), pa.int64()) if trees else batch.column("m")
                 node = np.zeros(len(batch), np.uint64) if trees else batch.column("node").to_numpy().view(np.uint64)
                 for j in range(TREES if trees else BRANCHES):
                     # The root of tree j takes token j; deeper, the number of the node chooses.
                     chosen = np.full(len(batch), j) if trees else (
                         (mix(node) % np.uint64(TOKENS) + np.uint64(j * 17)) % np.uint64(TOKENS)).astype(np.int64)
                     child = mix(mix(node ^ tokens[np.arange(len(batch)), chosen]) + chosen.astype(np.uint64))
-                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), rep, size], ["node", "rep", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), rep, size, above], ["node", "rep", "n", "above"])
         return run
 
-    level = stage(classes.select("rep", "n", "tokens").mapInArrow(branch(True), "node long, rep long, n long"), "level")
+    branches = "node long, rep long, n long, above long"
+    level = stage(classes.select("rep", "n", "tokens").mapInArrow(branch(True), branches), "level")
     kept: list[DataFrame] = []
     for depth in range(LEVELS + 1):
         member = F.xxhash64("rep").cast("decimal(20,0)")
         again = F.xxhash64("rep", F.lit(1)).cast("decimal(20,0)")
-        counted = (level.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"), F.sum(member).alias("d1"), F.sum(again).alias("d2"))
-                   .where("m > 1").groupBy("m", "size", "d1", "d2").agg(F.min("node").alias("node")))
-        nodes = stage(level.join(counted.select("node", "m", "size"), "node"), "nodes")
-        large = (F.col("size") > NODE_SHINGLES) & (F.col("m") > 2)
-        if depth == LEVELS:
-            # The exact way for the rest: all pairs of blocks of a node.
-            split = F.ceil(F.col("size") / NODE_SHINGLES * 2).cast("int")
-            mine = F.pmod(F.xxhash64("rep", "node"), split)
-            rest = (nodes.where(large).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), split - 1)))
-                    .select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node"), "rep"))
-            kept += [nodes.where(~large).select("node", "rep"), rest]
-            break
-        kept.append(nodes.where(~large).select("node", "rep"))
-        deeper = nodes.where(large).select("node", "rep")
+        counted = (level.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"), F.max("above").alias("above"),
+                                             F.sum(member).alias("d1"), F.sum(again).alias("d2"))
+                   .where("m > 1").groupBy("m", "size", "d1", "d2").agg(F.min(F.struct("node", "above")).alias("x"))
+                   .select(F.col("x.node").alias("node"), "m", "size", F.col("x.above").alias("of")))
+        nodes = stage(level.join(counted, "node"), "nodes")
+        work = F.greatest(F.col("size").cast("double") * F.col("m") / NODE_WORK, F.pow(F.col("size") / NODE_SHINGLES, 2))
+        large = (work > 1) & (F.col("m") > 2)
+        stuck = large & ((2 * F.col("m") > F.coalesce("of", 2 * F.col("m"))) | F.lit(depth == LEVELS))
+        # The exact way for what does not part: all pairs of blocks of a node.
+        split = F.ceil(F.sqrt(work) * 2).cast("int")
+        mine = F.pmod(F.xxhash64("rep", "node"), split)
+        blocks_ = (nodes.where(stuck).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), split - 1)))
+                   .select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node"), "rep"))
+        kept += [nodes.where(~large).select("node", "rep"), blocks_]
+        deeper = nodes.where(large & ~stuck).select("node", "rep", "m")
         if deeper.isEmpty():
             break
-        level = stage(deeper.join(classes.select("rep", "n", "tokens"), "rep").select("node", "rep", "n", "tokens")
-                      .mapInArrow(branch(False), "node long, rep long, n long"), "level")
+        level = stage(deeper.join(classes.select("rep", "n", "tokens"), "rep").select("node", "rep", "n", "tokens", "m")
+                      .mapInArrow(branch(False), branches), "level")
     members = kept[0]
     for more in kept[1:]:
         members = members.unionAll(more)
