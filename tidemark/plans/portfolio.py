@@ -113,10 +113,10 @@ def exit_check(entries: DataFrame, state: DataFrame) -> DataFrame:
 
     Precedence within a day: stop, trend, momentum, sector, macro.
     """
-    by_period = F.when(F.col("sma_period") == 150, F.col("bar_sma_150")).otherwise(F.col("bar_sma_200"))
     path = state.select("ticker", "seq", "date", "price", F.col("atr_14").alias("atr"), "sma_150",
                         "sma_200", "mom_r2", "sector_ok", "macro_ok")
-    return first_exit(entries, path, ["ticker", "seq", "sma_period"], exit_rule(by_period))
+    rules = {n: exit_rule(F.col(f"bar_sma_{n}")) for n in (150, 200)}
+    return first_exit(entries, path, ["ticker", "seq", "sma_period"], rules, by="sma_period")
 
 
 def entry_terms(rows: DataFrame) -> DataFrame:
