@@ -394,23 +394,33 @@ def adaptive(atr: str, price: str) -> str:
     round(2.0 + {atr} / {price} * 100 * 0.5, 2))) END"""
 
 
-oracle("exit_check", [
-    IND, MONDAYS, FORCE, INSTR, MACRO, _eligible("el", "sma_200", 0.0, "mondays"), _ranked("rk", "el"),
-    f"""en AS (SELECT ticker, seq, row_date, price, atr_14 AS atr, {adaptive('atr_14', 'price')} AS k
-  FROM rk WHERE rank <= 3 AND row_date = calc_date)""",
-    _sector_ok("s0", "ind", "date"), _macro_ok("st", "s0", "date"),
-    """walk0 AS (SELECT e.ticker, e.seq, e.k, e.price AS p0, e.atr AS a0, b.seq AS bseq, b.date, b.price, b.sma_200,
+def _exits(name: str, entries: str, sma: str) -> str:
+    """First exit of each entry under the stop and the four rules, walking over all bars after it."""
+    return f"""{name}0 AS (SELECT e.ticker, e.seq, e.k, e.price AS p0, e.atr AS a0, b.seq AS bseq, b.date, b.price, b.{sma} AS mean,
     b.mom_r2, b.sector_ok, b.macro_ok, coalesce(b.atr_14, e.atr) AS a,
     greatest(e.price, max(b.price) OVER (PARTITION BY e.ticker, e.seq ORDER BY b.seq ROWS UNBOUNDED PRECEDING)) AS hi
-  FROM en e JOIN st b ON b.ticker = e.ticker AND b.seq > e.seq),
-walk AS (SELECT *, greatest(p0 - k * a0, max(hi - k * a) OVER (PARTITION BY ticker, seq ORDER BY bseq
-    ROWS UNBOUNDED PRECEDING)) AS stop FROM walk0),
-hits AS (SELECT *, CASE WHEN price <= stop THEN 'TRAILING_STOP' WHEN price < sma_200 THEN 'TREND_BROKEN'
+  FROM {entries} e JOIN st b ON b.ticker = e.ticker AND b.seq > e.seq),
+{name}1 AS (SELECT *, greatest(p0 - k * a0, max(hi - k * a) OVER (PARTITION BY ticker, seq ORDER BY bseq
+    ROWS UNBOUNDED PRECEDING)) AS stop FROM {name}0),
+{name}2 AS (SELECT *, CASE WHEN price <= stop THEN 'TRAILING_STOP' WHEN price < mean THEN 'TREND_BROKEN'
     WHEN mom_r2 < 0 THEN 'MOMENTUM_LOST' WHEN NOT sector_ok THEN 'SECTOR_WEAK' WHEN NOT macro_ok THEN 'MACRO_BEARISH'
-    END AS reason FROM walk),
-ex AS (SELECT * FROM hits WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ticker, seq ORDER BY bseq) = 1)"""],
-    f"""SELECT e.ticker, e.seq, {g('e.k', 2, 'k')}, x.bseq AS exit_seq, {day('x.date', 'exit_date')},
-  x.price AS exit_price, x.reason AS exit_reason FROM en e LEFT JOIN ex x ON x.ticker = e.ticker AND x.seq = e.seq""")
+    END AS reason FROM {name}1),
+{name} AS (SELECT * FROM {name}2 WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ticker, seq ORDER BY bseq) = 1)"""
+
+
+STATE = [_sector_ok("s0", "ind", "date"), _macro_ok("st", "s0", "date")]
+
+
+def _entries(name: str, source: str) -> str:
+    return f"""{name} AS (SELECT DISTINCT ticker, seq, price, atr_14 AS atr, {adaptive('atr_14', 'price')} AS k
+  FROM {source} WHERE row_date = calc_date)"""
+
+
+oracle("exit_check", [IND, MONDAYS, FORCE, INSTR, MACRO, *STATE, *[x for n in (200, 150) for x in (
+    _eligible(f"el{n}", f"sma_{n}", 0.0, "mondays"), _entries(f"en{n}", f"el{n}"), _exits(f"ex{n}", f"en{n}", f"sma_{n}"))]],
+    " UNION ALL ".join(f"""SELECT e.ticker, e.seq, {n} AS sma_period, {g('e.k', 2, 'k')}, x.bseq AS exit_seq, {day('x.date', 'exit_date')},
+  x.price AS exit_price, x.reason AS exit_reason FROM en{n} e LEFT JOIN ex{n} x ON x.ticker = e.ticker AND x.seq = e.seq"""
+                       for n in (200, 150)))
 
 # ---- aggregates -----------------------------------------------------------------------------
 
@@ -503,8 +513,6 @@ oracle("sharpe_weekly", [INDEX, EQUITY], f"""SELECT index_ticker, {g('avg(r) / (
 oracle("drawdown", [INDEX, EQUITY], f"""SELECT index_ticker, {g('max((peak - v) / peak * 100)', 6, 'max_drawdown_pct')}
   FROM rets GROUP BY 1""")
 PLAIN_RANK = [IND, MONDAYS, _eligible("el", "sma_200", 0.0, "mondays"), _ranked("rk", "el")]
-oracle("weeks_held", PLAIN_RANK, """SELECT ticker, count(*) AS weeks_held FROM rk WHERE rank <= 5 GROUP BY 1
-  ORDER BY 2 DESC, 1 LIMIT 20""")
 oracle("sector_counts", [STRENGTH], """SELECT e.zone, count(*) AS n_sectors FROM strength s JOIN etf e USING (ticker_etf)
   WHERE in_force AND (s.ticker_etf, s.date) IN (SELECT ticker_etf, max(date) FROM strength GROUP BY 1) GROUP BY 1""")
 
@@ -687,6 +695,90 @@ recursive("k_sweep", SWEEP + [
 bst AS (SELECT k AS bk, n_ok AS bn FROM byk ORDER BY sharpe_mean DESC, k LIMIT 1)"""],
     f"SELECT k, {g('sharpe_mean', 2)}, n_ok, n_tickers, k = bk AS is_best, bn >= 3 AS validated FROM byk, bst")
 
+# ---- portfolio backtest ---------------------------------------------------------------------
+
+_HELD = "STRUCT(ticker VARCHAR, entry DATE, price DOUBLE, k DOUBLE, shares DOUBLE, exit_date DATE, exit_price DOUBLE, exit_reason VARCHAR, money DOUBLE)[]"
+BACKTEST_DAYS = """bt AS (SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date) AS i, count(*) OVER () AS n
+    FROM (SELECT DISTINCT date FROM ind)) WHERE n <= 302 OR i > 302),
+mons AS MATERIALIZED (SELECT date AS calc_date, row_number() OVER (ORDER BY date) AS w FROM bt WHERE dayofweek(date) = 1),
+ends AS (SELECT max(date) AS last_date, (SELECT max(calc_date) FROM mons) AS last_monday FROM bt)"""
+
+
+def _hybrid(i: int, name: str, size: int, sma: int, least: float) -> list[str]:
+    """Portfolio of one configuration, Monday by Monday: a recursive query whose state is the list of held trades."""
+    stake = 50000.0 / size
+    return [
+        _eligible(f"el{i}", f"sma_{sma}", least, "mons"), _sector_ok(f"so{i}", f"el{i}", "calc_date"),
+        f"sp{i} AS (SELECT * FROM so{i} WHERE sector_ok)", _ranked(f"rk{i}", f"sp{i}"), _macro_ok(f"rm{i}", f"rk{i}", "calc_date"),
+        f"""pass{i} AS (SELECT *, row_number() OVER (PARTITION BY calc_date ORDER BY score DESC, ticker) AS place
+  FROM rm{i} WHERE macro_ok)""",
+        f"best{i} AS (SELECT * FROM pass{i} WHERE place <= {size})", _entries(f"en{i}", f"best{i}"), _exits(f"ex{i}", f"en{i}", f"sma_{sma}"),
+        f"""cand{i} AS MATERIALIZED (SELECT b.calc_date, list({{'ticker': b.ticker, 'price': b.price, 'k': e.k, 'has_bar': b.row_date = b.calc_date,
+    'exit_date': CASE WHEN x.date <= last_monday THEN x.date END, 'exit_price': CASE WHEN x.date <= last_monday THEN x.price END,
+    'exit_reason': CASE WHEN x.date <= last_monday THEN x.reason END}} ORDER BY b.place) AS items
+  FROM best{i} b LEFT JOIN en{i} e ON e.ticker = b.ticker AND e.seq = b.seq
+  LEFT JOIN ex{i} x ON x.ticker = b.ticker AND x.seq = b.seq AND b.row_date = b.calc_date, ends GROUP BY 1)""",
+        f"""run{i}(w, day, cash, held, n_free, n_bought, bought) AS (
+  SELECT CAST(0 AS BIGINT), CAST(NULL AS DATE), CAST(50000 AS DOUBLE), CAST([] AS {_HELD}), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST([] AS {_HELD})
+  UNION ALL
+  SELECT w, calc_date, have - coalesce(list_sum(list_transform(news, lambda b: b.money)), 0), list_concat(kept, news), free, len(picked), news
+  FROM (SELECT *, list_filter(list_transform(list_filter(picked, lambda x: x.has_bar), lambda x, j: {{'ticker': x.ticker, 'entry': calc_date,
+        'price': x.price, 'k': x.k, 'shares': least({stake}, have - (j - 1) * {stake}) / x.price, 'exit_date': x.exit_date,
+        'exit_price': x.exit_price, 'exit_reason': x.exit_reason, 'money': least({stake}, have - (j - 1) * {stake})}}),
+      lambda b: b.money >= 100) AS news
+    FROM (SELECT *, CASE WHEN free > 0 THEN list_filter(items, lambda x: NOT list_contains(names, x.ticker))[1:free] ELSE [] END AS picked
+      FROM (SELECT *, CAST({size} - len(kept) AS BIGINT) AS free, list_transform(kept, lambda h: h.ticker) AS names
+        FROM (SELECT m.w, m.calc_date, coalesce(c.items, []) AS items,
+            list_filter(r.held, lambda h: coalesce(h.exit_date > m.calc_date, TRUE)) AS kept,
+            r.cash + coalesce(list_sum(list_transform(list_filter(r.held, lambda h: coalesce(h.exit_date <= m.calc_date, FALSE)),
+              lambda h: h.shares * h.exit_price)), 0) AS have
+          FROM run{i} r JOIN mons m ON m.w = r.w + 1 LEFT JOIN cand{i} c ON c.calc_date = m.calc_date)))))""",
+        f"""sold{i} AS (SELECT b.*, coalesce(b.exit_price, p.price) AS end_price, coalesce(b.exit_date, last_date) AS end_date
+  FROM (SELECT unnest(bought, max_depth := 2) FROM run{i}) b JOIN ends ON TRUE
+  ASOF LEFT JOIN (SELECT ticker, date, price FROM ind) p ON p.ticker = b.ticker AND p.date <= ends.last_date)""",
+        f"""trades{i} AS (SELECT '{name}' AS config_id, ticker, entry AS entry_date, end_date AS exit_date,
+    coalesce(exit_reason, 'END_OF_BACKTEST') AS exit_reason, round(price, 2) AS entry_price, round(end_price, 2) AS exit_price,
+    round(shares, 4) AS shares, round(shares * (end_price - price), 2) AS pnl, round((end_price - price) / price * 100, 2) AS return_pct,
+    end_date - entry AS duration_days, k AS k_used FROM sold{i})""",
+        f"""worth{i} AS (SELECT h.day, sum(h.shares * p.price) AS v FROM (SELECT day, unnest(held, max_depth := 2) FROM run{i}) h
+  ASOF LEFT JOIN (SELECT ticker, date, price FROM ind) p ON p.ticker = h.ticker AND p.date <= h.day GROUP BY 1)""",
+        f"""equity{i} AS (SELECT '{name}' AS config_id, r.day AS date, round(r.cash + coalesce(v, 0), 2) AS value, round(r.cash, 2) AS cash,
+    len(r.held) AS n_positions FROM run{i} r LEFT JOIN worth{i} USING (day) WHERE r.w > 0)""",
+        f"""weeks{i} AS (SELECT '{name}' AS config_id, r.day AS date, CASE WHEN n_free > 0 THEN
+    (SELECT count(*) FROM pass{i} p WHERE p.calc_date = r.day AND NOT list_contains(list_transform(list_filter(r.held,
+      lambda h: h.entry < r.day), lambda h: h.ticker), p.ticker)) ELSE 0 END AS n_eligible, n_free, n_bought FROM run{i} r WHERE r.w > 0)""",
+        f"""ret{i} AS (SELECT *, value / lag(value) OVER (ORDER BY date) - 1 AS r, max(value) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS peak
+  FROM equity{i})""",
+        f"""measure{i} AS (SELECT '{name}' AS config_id, q.*, t.* FROM (SELECT round((arg_max(value, date) / 50000.0 - 1) * 100, 2) AS total_return_pct,
+      arg_max(value, date) AS final_value, round(avg(n_positions), 1) AS avg_positions_held,
+      CASE WHEN count(*) > 2 THEN round(avg(r) / (stddev_pop(r) + 1e-9) * sqrt(52), 3) ELSE 0.0 END AS sharpe,
+      round(greatest(max((peak - value) / peak) * 100, 0), 2) AS max_drawdown_pct FROM ret{i}) q,
+    (SELECT n_trades, win_rate_pct, avg_win_pct, avg_loss_pct, round(CASE WHEN avg_loss_pct <> 0 THEN abs(avg_win_pct / avg_loss_pct) ELSE 0 END, 2)
+        AS profit_factor, avg_duration_days
+      FROM (SELECT count(*) AS n_trades, round(coalesce(count(*) FILTER (return_pct > 0) * 100.0 / nullif(count(*), 0), 0), 1) AS win_rate_pct,
+        round(coalesce(avg(return_pct) FILTER (return_pct > 0), 0), 2) AS avg_win_pct,
+        round(coalesce(avg(return_pct) FILTER (return_pct <= 0), 0), 2) AS avg_loss_pct,
+        round(coalesce(avg(duration_days) FILTER (duration_days > 0), 0), 1) AS avg_duration_days FROM trades{i})) t)""",
+    ]
+
+
+HYBRID = [IND, FORCE, INSTR, MACRO, *STATE, BACKTEST_DAYS]
+BASE = HYBRID + _hybrid(0, "base", 5, 200, 0.0)
+recursive("hybrid_trades", BASE, f"""SELECT config_id, ticker, {day('entry_date')}, {day('exit_date')}, exit_reason, entry_price, exit_price,
+  shares, pnl, return_pct, duration_days, k_used FROM trades0""")
+recursive("hybrid_equity", BASE, f"SELECT config_id, {day('date')}, value, cash, n_positions FROM equity0")
+recursive("hybrid_weeks", BASE, f"SELECT config_id, {day('date')}, n_eligible, n_free, n_bought FROM weeks0")
+recursive("hybrid_metrics", BASE, "SELECT * FROM measure0")
+recursive("hybrid_exit_reasons", BASE, f"""SELECT config_id, exit_reason, count(*) AS n_trades, {g('avg(return_pct)', 6, 'avg_return_pct')},
+  {g('count(*) FILTER (return_pct > 0) * 100.0 / count(*)', 6, 'win_rate_pct')} FROM trades0 GROUP BY 1, 2""")
+recursive("weeks_held", BASE, """SELECT config_id, ticker, count(*) AS weeks_held FROM (
+    SELECT 'base' AS config_id, unnest(held, max_depth := 2) FROM run0) GROUP BY 1, 2
+  QUALIFY row_number() OVER (PARTITION BY config_id ORDER BY weeks_held DESC, ticker) <= 20""")
+GRID = [("sma_200", 200, 0.0), ("sma_150", 150, 0.0), ("mom_r2>0.0", 200, 0.0), ("mom_r2>0.01", 200, 0.01), ("mom_r2>0.05", 200, 0.05)]
+recursive("config_compare", HYBRID + [x for i, (n, sma, least) in enumerate(GRID) for x in _hybrid(i, n, 5, sma, least)] + [
+    "measured AS (" + " UNION ALL ".join(f"SELECT {i} AS place, * FROM measure{i}" for i in range(len(GRID))) + ")"],
+    """SELECT * EXCLUDE (place), place = (SELECT place FROM measured ORDER BY sharpe DESC, place LIMIT 1) AS is_best FROM measured""")
+
 # ---- positions ------------------------------------------------------------------------------
 
 oracle("positions_computed", [POSITIONS], """SELECT id, CAST(invested AS DOUBLE) AS invested, CAST(result AS DOUBLE) AS result,
@@ -733,10 +825,10 @@ ev2 AS (SELECT *, """ + ", ".join(f"""list_filter([CASE WHEN c_trailing_stop = '
     lambda x: x IS NOT NULL) AS {n}""" for s, n in (("VIOLATED", "violated"), ("WARNING", "warnings"))) + """ FROM ev1),
 evaluated AS (SELECT *, CASE WHEN len(violated) > 0 THEN 'SORTIE_RECOMMANDÉE' WHEN len(warnings) > 0 THEN 'VIGILANCE'
     ELSE 'SAIN' END AS alert FROM ev2)"""]
-oracle("position_eval", EVALUATED, f"""SELECT id, ticker, {day('data_date')}, {g('k', 1)}, {g('round(e.stop, 2)', 1, 'stop')},
-  round(max_price, 2) AS max_price, {g('round((now - bp) / bp * 100, 2)', 1, 'pnl_pct')},
-  {g('round((now - bp) * q, 2)', 1, 'pnl_quote')}, {g('e.value_eur', 1, 'value_eur')},
-  {g('round(e.value_eur - cost_eur, 2)', 0, 'pnl_eur')}, e.data_date - e.buy_date AS days_held, c_trailing_stop,
+oracle("position_eval", EVALUATED, f"""SELECT id, ticker, {day('data_date')}, {g('k', 2)}, {g('round(e.stop, 2)', 2, 'stop')},
+  round(max_price, 2) AS max_price, {g('round((now - bp) / bp * 100, 2)', 2, 'pnl_pct')},
+  {g('round((now - bp) * q, 2)', 2, 'pnl_quote')}, {g('e.value_eur', 2, 'value_eur')},
+  {g('round(e.value_eur - cost_eur, 2)', 2, 'pnl_eur')}, e.data_date - e.buy_date AS days_held, c_trailing_stop,
   c_trend_sma200, c_momentum_r2, c_sector, c_macro, array_to_string(e.violated, ',') AS violated,
   array_to_string(e.warnings, ',') AS warnings, alert FROM evaluated e""")
 oracle("evaluation_rollup", EVALUATED, """SELECT count(*) AS n_positions, count(*) FILTER (alert = 'SORTIE_RECOMMANDÉE') AS n_exit,

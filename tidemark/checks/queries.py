@@ -452,13 +452,13 @@ def state(spark, d) -> DataFrame:
 @query
 def exit_check(spark, d):
     s = stage(state(spark, d), "state")
-    i = s.select("ticker", "date", "seq", "price", "sma_200", "sma_150", "mom_r2", "rvol", "obv_slope",
-                 "atr_14")
-    top = RK.score_candidates(i, RK.mondays(i), V.instruments(spark, d), top_n=3) \
-        .where("row_date = calc_date")
-    entries = P.entry_terms(top).select("ticker", "seq", F.lit(200).alias("sma_period"), "price", "atr", "k")
-    return P.exit_check(entries, s).select(
-        "ticker", "seq", grid("k", 2).alias("k"), "exit_seq", "exit_date", "exit_price", "exit_reason")
+    every = None
+    for period in (200, 150):  # every eligible ticker of every Monday, whatever its rank
+        rows = RK.eligible_rows(s, RK.mondays(s), period, 0.0).where("row_date = calc_date")
+        rows = P.entry_terms(rows).select("ticker", "seq", F.lit(period).alias("sma_period"), "price", "atr", "k").distinct()
+        every = rows if every is None else every.unionByName(rows)
+    return P.exit_check(every, s).select(
+        "ticker", "seq", "sma_period", grid("k", 2).alias("k"), "exit_seq", "exit_date", "exit_price", "exit_reason")
 
 
 # ---- aggregates -----------------------------------------------------------------------------
@@ -575,8 +575,7 @@ def drawdown(spark, d):
 
 @query
 def weeks_held(spark, d):
-    top = RK.score_candidates(i := stored_ind(spark, d), RK.mondays(i), top_n=5)
-    return M.weeks_held(top.select("ticker"), [], 20)
+    return M.weeks_held(hybrid(spark, d, [P.Config("base", 5)]).holdings, ["config_id"], 20)
 
 
 @query
@@ -896,7 +895,7 @@ def hybrid_metrics(spark, d):
 
 @query
 def hybrid_exit_reasons(spark, d):
-    return M.exit_reasons(hybrid(spark, d, [P.Config("base", 5)]).trades, ["config_id"])
+    return on_grid(M.exit_reasons(hybrid(spark, d, [P.Config("base", 5)]).trades, ["config_id"]))
 
 
 @query
@@ -930,9 +929,9 @@ def evaluated(spark, d) -> DataFrame:
 def position_eval(spark, d):
     e = evaluated(spark, d)
     return e.select(
-        "id", "ticker", "data_date", grid("k", 1).alias("k"), grid("stop", 1).alias("stop"), "max_price",
-        grid("pnl_pct", 1).alias("pnl_pct"), grid("pnl_quote", 1).alias("pnl_quote"),
-        grid("value_eur", 1).alias("value_eur"), grid("pnl_eur", 0).alias("pnl_eur"), "days_held",
+        "id", "ticker", "data_date", grid("k", 2).alias("k"), grid("stop", 2).alias("stop"), "max_price",
+        grid("pnl_pct", 2).alias("pnl_pct"), grid("pnl_quote", 2).alias("pnl_quote"),
+        grid("value_eur", 2).alias("value_eur"), grid("pnl_eur", 2).alias("pnl_eur"), "days_held",
         *[c for c in e.columns if c.startswith("c_")], "violated", "warnings", "alert")
 
 

@@ -1,7 +1,7 @@
 """Weekly portfolio backtest: ranked entries, daily rule-based exits, one fold per configuration.
 
-Scores and exits do not depend on the portfolio, so they are computed for all Mondays and all
-possible entries at once. Only slots and cash are sequential; that fold reads at most
+Scores depend on a configuration's screen only and exits not on the portfolio at all, so they are computed once per
+screen, for all Mondays and all possible entries. Only slots and cash are sequential; that fold reads at most
 ``max_positions`` rows per Monday and configuration.
 """
 
@@ -60,10 +60,6 @@ def momentum_compare(max_positions: int = 5) -> list[Config]:
     return [Config(f"mom_r2>{t}", max_positions, 200, t) for t in (0.0, 0.01, 0.05)]
 
 
-def config_frame(spark, configs: list[Config]) -> DataFrame:
-    return spark.createDataFrame([tuple(asdict(c).values()) for c in configs], CONFIG_SCHEMA)
-
-
 def each_config(df: DataFrame, configs: list[Config]) -> DataFrame:
     """One copy of each row per configuration, with the configuration's columns."""
     # One constant however many there are: a literal per field would swell the plan.
@@ -125,8 +121,13 @@ def entry_terms(rows: DataFrame) -> DataFrame:
     return rows.withColumn("atr", atr).withColumn("k", X.adaptive_k(F.col("atr"), F.col("price")))
 
 
+def screens(configs: list[Config]) -> list[tuple[int, float]]:
+    """Distinct screens (mean period, least momentum) of the configurations: all that a score depends on."""
+    return list(dict.fromkeys((c.sma_period, c.min_mom_r2) for c in configs))
+
+
 def weekly_candidates(state: DataFrame, configs: list[Config], days: DataFrame) -> DataFrame:
-    """Eligible tickers per configuration and Monday."""
+    """Eligible tickers per screen and Monday of any configuration; rows grow with screens, not with configurations."""
     bars = state.withColumn("_next", F.lead("date").over(
         Window.partitionBy("ticker").orderBy("date")))
     limit = F.date_add("date", C.STALE_BAR_DAYS)
@@ -134,16 +135,14 @@ def weekly_candidates(state: DataFrame, configs: list[Config], days: DataFrame)
     # A bar covers at most six days, hence at most one Monday.
     monday = F.date_add(F.date_trunc("week", F.date_add("date", 6)).cast("date"), 0)
     bars = bars.withColumn("calc_date", monday).where(F.col("calc_date") <= last)
-    sma = F.when(F.col("sma_period") == 150, F.col("sma_150")).otherwise(F.col("sma_200"))
-    # No configuration admits a bar below both means, so those go before the copies are made.
-    rising = bars.where((F.col("price") > F.least("sma_150", "sma_200")) & F.col("mom_r2").isNotNull())
-    rows = each_config(rising, configs).where(
-        (F.col("price") > sma) & (F.col("mom_r2") > F.col("min_mom_r2")))
-    own = days.where("is_monday").select("config_id", F.col("date").alias("calc_date"))
-    return rows.join(own, ["config_id", "calc_date"], "left_semi").select(
-        "config_id", "calc_date", "ticker", F.col("date").alias("row_date"), "seq", "price",
+    passed = [F.when((F.col("price") > F.col(f"sma_{n}")) & (F.col("mom_r2") > least), F.struct(
+        F.lit(i).alias("screen"), F.lit(n).alias("sma_period"))) for i, (n, least) in enumerate(screens(configs))]
+    rows = bars.select("*", F.inline(F.array_compact(F.array(*passed))))
+    own = days.where("is_monday").select(F.col("date").alias("calc_date")).distinct()
+    return rows.join(own, "calc_date", "left_semi").select(
+        "screen", "calc_date", "ticker", F.col("date").alias("row_date"), "seq", "price",
         "atr_14", "mom_r2", F.coalesce("rvol", F.lit(0.0)).alias("rvol"),
-        F.coalesce("obv_slope", F.lit(0.0)).alias("obv_slope"), "sma_period", "max_positions",
+        F.coalesce("obv_slope", F.lit(0.0)).alias("obv_slope"), "sma_period",
         "sector", "zone_priority", "zone")
 
 
@@ -152,7 +151,10 @@ def hybrid_backtest(ind: DataFrame, configs: list[Config], instruments: DataFram
     """Trades, weekly equity, weekly holdings and weekly log of every configuration."""
     spark = ind.sparkSession
     ship_package(spark)  # the fold runs in Python workers
-    grid = config_frame(spark, configs)
+    # One row per configuration, with the number of its screen.
+    number = {screen: i for i, screen in enumerate(screens(configs))}
+    grid = spark.createDataFrame([(c.config_id, number[c.sma_period, c.min_mom_r2], c.max_positions) for c in configs],
+                                 "config_id string, screen int, max_positions int")
     # Read by several steps below: one row per sector, zone and day, and per zone and day.
     force = None if force is None else stage(force, "force")
     macro = None if macro is None else stage(macro, "macro")
@@ -161,7 +163,7 @@ def hybrid_backtest(ind: DataFrame, configs: list[Config], instruments: DataFram
     rows = stage(weekly_candidates(state, configs, days), "weekly")
     # The ranking reads sector and macro state at the Monday, which may follow the row's own day.
     rows = ranking.sector_passes(rows, force, "calc_date").where("sector_ok").drop("sector_ok")
-    rows = ranking.scored(rows, ["config_id", "calc_date"])
+    rows = ranking.scored(rows, ["screen", "calc_date"])
     if macro is None:
         rows = rows.withColumn("macro_ok", F.lit(True))
     else:
@@ -169,9 +171,7 @@ def hybrid_backtest(ind: DataFrame, configs: list[Config], instruments: DataFram
     passing = stage(rows.where("macro_ok"), "passing")
     # Held tickers never exceed the used slots, so the first max_positions rows always suffice.
     most = max(c.max_positions for c in configs)
-    best = top_per_group(passing, ["config_id", "calc_date"],
-                         [F.col("score").desc(), F.col("ticker")], most, "place") \
-        .where(F.col("place") <= F.col("max_positions"))
+    best = top_per_group(passing, ["screen", "calc_date"], [F.col("score").desc(), F.col("ticker")], most, "place")
     best = stage(entry_terms(best.withColumn("has_bar", F.col("row_date") == F.col("calc_date"))),
                  "best")
     entries = best.where("has_bar").select("ticker", "seq", "sma_period", "price", "atr", "k").distinct()
@@ -181,8 +181,10 @@ def hybrid_backtest(ind: DataFrame, configs: list[Config], instruments: DataFram
     bounds = days.groupBy("config_id").agg(
         F.max(F.when(F.col("is_monday"), F.col("date"))).alias("last_monday"),
         F.max("date").alias("last_date"))
+    # Only now a row per configuration: the best of each of its Mondays.
     offered = best.join(exits, ["ticker", "seq", "sma_period"], "left") \
-        .join(F.broadcast(bounds), "config_id")
+        .join(F.broadcast(grid.join(bounds, "config_id")), "screen").where(F.col("place") <= F.col("max_positions")) \
+        .join(days.where("is_monday").select("config_id", F.col("date").alias("calc_date")), ["config_id", "calc_date"], "left_semi")
     in_time = F.col("exit_date") <= F.col("last_monday")
     offered = offered.select(
         "config_id", "max_positions", F.col("calc_date").alias("date"), "place", "ticker", "seq",
@@ -222,13 +224,13 @@ def hybrid_backtest(ind: DataFrame, configs: list[Config], instruments: DataFram
         "config_id", "date", F.round(F.col("cash") + F.coalesce("w", F.lit(0.0)), 2).alias("value"),
         F.round("cash", 2).alias("cash"), "n_positions")
     # Eligible names at entry time: macro-passing ones less those held over from before.
-    size = passing.groupBy("config_id", F.col("calc_date").alias("date")).agg(
-        F.count(F.lit(1)).alias("n"))
-    kept_over = holdings.where("entry_date < date").join(
-        passing.select("config_id", F.col("calc_date").alias("date"), "ticker"),
-        ["config_id", "date", "ticker"], "left_semi") \
+    of_config = F.broadcast(grid.select("config_id", "screen"))
+    size = passing.groupBy("screen", F.col("calc_date").alias("date")).agg(F.count(F.lit(1)).alias("n"))
+    kept_over = holdings.where("entry_date < date").join(of_config, "config_id").join(
+        passing.select("screen", F.col("calc_date").alias("date"), "ticker"),
+        ["screen", "date", "ticker"], "left_semi") \
         .groupBy("config_id", "date").agg(F.count(F.lit(1)).alias("h"))
-    log = weeks.join(size, ["config_id", "date"], "left").join(
+    log = weeks.join(of_config, "config_id").join(size, ["screen", "date"], "left").join(
         kept_over, ["config_id", "date"], "left").select(
         "config_id", "date",
         F.when(F.col("n_free") > 0, F.coalesce("n", F.lit(0)) - F.coalesce("h", F.lit(0)))

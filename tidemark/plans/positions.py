@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import constants as C
 from tidemark.functions import scalars as X
+from tidemark.functions.envelope import LEVELS_SCHEMA, suffix_levels
 from tidemark.operators.asof import asof_join, join_daily, last_known, latest_per_key
 from tidemark.plans import context, ranking
 from tidemark.session import stage
+from tidemark.shipping import ship_package
 
 TICKER_PATTERN = r"^[A-Z0-9.\-^]{1,15}$"
 MONEY = "decimal(18,4)"
@@ -114,24 +116,16 @@ def newest_rate(rows: DataFrame, fx: DataFrame, currency: str, out: str) -> Data
 def stop_levels(ind: DataFrame, wanted: DataFrame) -> DataFrame:
     """Highest price and trailing stop from any starting bar to the newest one.
 
-    ``wanted``: distinct (ticker, k). The stop of a purchase is the greatest of p0 - k * atr0,
+    ``wanted``: distinct (ticker, k, first_bar). The stop of a purchase is the greatest of p0 - k * atr0,
     p0 - k * A(e) and the maximum over bars u from the first bar e on of p(u) - k * A(u), where
-    A(u) is the least range from u to the end. So it needs one backward pass per (ticker, factor);
-    factors have two decimals between 2 and 4, and no position meets its bars one by one.
+    A(u) is the least range from u to the end. These are lines in k; going back in time their slopes only rise, so
+    one pass per ticker keeps their upper envelope and reads off every factor. A group holds the bars of one ticker
+    from its first purchase on and at most one question per day and factor (two decimals between 2 and 4).
     """
-    back = Window.partitionBy("ticker").orderBy(F.col("date").desc()) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    newest_first = Window.partitionBy("ticker").orderBy(F.col("date").desc())
-    rows = ind.withColumns({
-        "_now": F.first("atr_14").over(newest_first)}).withColumns({
-        "_range": F.coalesce("atr_14", "_now")}).withColumns({
-        "least_range": F.min("_range").over(back), "high_since": F.max("price").over(back)})
-    per_k = rows.join(wanted, "ticker").withColumn(
-        "_level", F.col("price") - F.col("k") * F.col("least_range"))
-    back_k = Window.partitionBy("ticker", "k").orderBy(F.col("date").desc()) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return per_k.select("ticker", "k", F.col("date").alias("first_bar"), "high_since", "least_range",
-                        F.max("_level").over(back_k).alias("stop_since"))
+    ship_package(ind.sparkSession)
+    first = wanted.groupBy("ticker").agg(F.min("first_bar").alias("_from"))
+    bars = ind.select("ticker", "date", "price", "atr_14").join(first, "ticker").where("date >= _from").drop("_from")
+    return bars.groupBy("ticker").cogroup(wanted.groupBy("ticker")).applyInPandas(suffix_levels, LEVELS_SCHEMA)
 
 
 def light(violated: Column, warning: Column, known: Column | None = None) -> Column:
@@ -172,7 +166,7 @@ def evaluate_positions(positions: DataFrame, ind: DataFrame, instruments: DataFr
     has_first = F.col("first_bar").isNotNull()
     first = first.withColumn("k", F.when(
         has_first, X.entry_k(F.col("atr_entry"), F.col("buy_price"))).otherwise(C.K_FALLBACK))
-    levels = stop_levels(ind, first.where(has_first).select("ticker", "k").distinct())
+    levels = stop_levels(ind, first.where(has_first).select("ticker", "k", "first_bar").distinct())
     held = first.join(levels, ["ticker", "k", "first_bar"], "left")
     start = F.when(F.col("atr_entry") > 0, F.col("buy_price") - F.col("k") * F.col("atr_entry")) \
         .otherwise(0.0)
