@@ -166,6 +166,7 @@ def evaluate_positions(positions: DataFrame, ind: DataFrame, instruments: DataFr
     has_first = F.col("first_bar").isNotNull()
     first = first.withColumn("k", F.when(
         has_first, X.entry_k(F.col("atr_entry"), F.col("buy_price"))).otherwise(C.K_FALLBACK))
+    first = stage(first, "first")  # read by the levels as well
     levels = stop_levels(ind, first.where(has_first).select("ticker", "k", "first_bar").distinct())
     held = first.join(levels, ["ticker", "k", "first_bar"], "left")
     start = F.when(F.col("atr_entry") > 0, F.col("buy_price") - F.col("k") * F.col("atr_entry")) \
