@@ -173,6 +173,7 @@ oracle("tickers_with_history", [SBARS], """SELECT ticker, count(*) AS n_bars FRO
 oracle("valid_history_bars", [SBARS], f"""SELECT ticker, {day('date')}, adj_close FROM (
   SELECT *, count(*) OVER (PARTITION BY ticker) AS n FROM sbars WHERE CAST(volume AS BIGINT) % 5 <> 0
     AND CAST(volume AS BIGINT) % 7 <> 0 AND CAST(volume AS BIGINT) % 11 <> 0) WHERE n >= 320""")
+oracle("landed_files", [BARS], f"SELECT ticker, {day('date')}, open, high, low, close, close AS adj_close, volume FROM bars")
 oracle("incremental_slice", [BARS, LAST], f"""SELECT ticker, {day('date')}, close FROM bars, last_day
   WHERE date >= d - 220""")
 
@@ -260,6 +261,12 @@ oracle("analysis_indicators", [BARS, INSTR, _analysis("a", "bars")], ANALYSIS_OU
 SLICE = "slice AS (SELECT bars.* FROM bars, last_day WHERE date >= d - 220)"
 oracle("analysis_incremental", [BARS, INSTR, LAST, SLICE, _analysis("a", "slice")],
        ANALYSIS_OUT + ", last_day WHERE date >= d - 5")
+_NIGHT = {"rsi_14": 6, "sma_200": 4, "vol_ratio": 6, "atr_14": 3}
+oracle("nightly_analysis", [BARS, LAST, SLICE, _analysis("a", "bars"), _analysis("b", "slice"),
+                            """night AS (SELECT a.ticker, a.date, """ + ", ".join(
+    f"CASE WHEN a.date >= d - 5 THEN CASE WHEN b.cnt >= 50 THEN b.{c} END WHEN a.date <= d - 40 AND a.cnt >= 50 THEN a.{c} END AS {c}"
+    for c in [*_NIGHT, "regime"]) + """ FROM a LEFT JOIN b ON b.ticker = a.ticker AND b.date = a.date, last_day)"""],
+       f"SELECT ticker, {day('date')}, " + ", ".join(g(c, n) for c, n in _NIGHT.items()) + ", regime FROM night")
 oracle("stream_tail", [BARS, LAST, MERGED, _analysis("a", "merged")],
        f"""SELECT ticker, {day('date')}, {g('rsi_14')}, {g('sma_200', 4)}, {g('atr_14', 4)}, regime
   FROM a""")
@@ -284,6 +291,12 @@ amounts AS (SELECT *, round(quantity * buy_price, 2) AS invested, round((sell_pr
   FROM positions)"""
 oracle("instrument_search", [INSTR], """SELECT ticker, name, sector FROM instr
   WHERE contains(upper(ticker), 'R 1') OR contains(upper(name), 'R 1')""")
+oracle("instrument_search_indexed", [INSTR], """SELECT ticker, name, sector FROM instr
+  WHERE contains(upper(ticker), 'R 1') OR contains(upper(name), 'R 1') UNION ALL SELECT ticker, name, sector FROM instr WHERE contains(upper(ticker), 'BRAND#23')""")
+for _name, _where in (("positions_list_all", "TRUE"), ("positions_list_open", "status = 'OUVERT'"),
+                      ("positions_of_portfolio", "status = 'FERMÉ' AND portfolio_id = 7")):
+    oracle(_name, [POSITIONS], f"""SELECT id, ticker, portfolio_id, {day('buy_date')}, {day('sell_date')}, CAST(invested AS DOUBLE) AS invested,
+  CAST(result AS DOUBLE) AS result, result_pct, status FROM amounts WHERE {_where}""")
 oracle("positions_list", [POSITIONS], f"""SELECT id, ticker, {day('buy_date')}, {day('sell_date')},
   CAST(invested AS DOUBLE) AS invested, CAST(result AS DOUBLE) AS result, result_pct, sell_reason
   FROM amounts WHERE status = 'FERMÉ'""")
@@ -294,6 +307,11 @@ oracle("opinions_latest_week", [OPINIONS], f"""SELECT {day('week')}, ticker, typ
   WHERE type = 'ranking' AND week = (SELECT max(week) FROM op)""")
 oracle("opinion_of_ticker", [OPINIONS], f"""SELECT {day('week')}, upper(ticker) AS ticker, type, conviction FROM op
   WHERE ticker = 'Brand#7' ORDER BY op.week DESC, generated_at DESC LIMIT 1""")
+WEEKS = """wk AS (SELECT week, percent_rank() OVER (ORDER BY week) AS p FROM (SELECT DISTINCT week FROM op)),
+chosen AS (SELECT min(week) AS week FROM wk WHERE p >= 0.5)"""
+oracle("opinions_of_week", [OPINIONS, WEEKS], f"SELECT {day('week')}, ticker, type, rank, conviction FROM op JOIN chosen USING (week)")
+oracle("opinions_of_week_ticker", [OPINIONS, WEEKS], f"""SELECT {day('week')}, upper(ticker) AS ticker, type, rank, conviction
+  FROM op JOIN chosen USING (week) WHERE ticker = 'Brand#7'""")
 RECENT = """recent AS (SELECT * FROM op WHERE type = 'ranking' AND CAST(generated_at AS DATE) >=
     (SELECT max(CAST(generated_at AS DATE)) FROM op) - 7
   QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY week DESC, generated_at DESC) = 1)"""
@@ -501,8 +519,11 @@ oracle("closed_summary", [POSITIONS], """SELECT count(*) AS n_closed, count(*) F
 oracle("exit_reason_stats", [POSITIONS], f"""SELECT portfolio_id, sell_reason AS exit_reason, count(*) AS n_trades,
   {g('avg(result_pct)', 5, 'avg_return_pct')}, {g('count(*) FILTER (result_pct > 0) * 100.0 / count(*)', 5, 'win_rate_pct')}
   FROM amounts WHERE status = 'FERMÉ' GROUP BY 1, 2""")
+_WIN = "round(coalesce(avg(result_pct) FILTER (result_pct > 0), 0), 2)"
+_LOSS = "round(coalesce(avg(result_pct) FILTER (result_pct <= 0), 0), 2)"
 oracle("trade_measures", [POSITIONS], f"""SELECT ticker, count(*) AS n_trades,
-  {g('count(*) FILTER (result_pct > 0) * 100.0 / count(*)', 4, 'win_rate_pct')},
+  {g('count(*) FILTER (result_pct > 0) * 100.0 / count(*)', 4, 'win_rate_pct')}, {g(_WIN, 2, 'avg_win_pct')}, {g(_LOSS, 2, 'avg_loss_pct')},
+  {g(f'CASE WHEN {_LOSS} <> 0 THEN abs({_WIN} / {_LOSS}) ELSE 0 END', 4, 'profit_factor')},
   {g('coalesce(avg(sell_date - buy_date) FILTER (sell_date > buy_date), 0)', 4, 'avg_duration_days')}
   FROM amounts WHERE status = 'FERMÉ' GROUP BY 1""")
 EQUITY = """equity AS (SELECT index_ticker, date_trunc('week', date) AS wk, arg_max(close, date) AS v FROM idx GROUP BY 1, 2),
@@ -583,7 +604,7 @@ oracle("sectors_dashboard", [STRENGTH], f"""SELECT e.zone, e.sector, e.ticker_et
 
 oracle("ranking_indicators", [IND], f"""SELECT ticker, {day('date')}, seq, price, {g('sma_200', 4)}, {g('sma_150', 4)},
   {g('mom_r2')}, {g('rvol')}, obv_slope, {g('atr_14', 3)} FROM ind""")
-oracle("adaptive_k", [BARS], f"SELECT ticker, {day('date')}, {g(adaptive('(high - low)', 'close'), 1, 'k')} FROM bars")
+oracle("adaptive_k", [BARS], f"SELECT ticker, {day('date')}, {g(adaptive('(high - low)', 'close'), 2, 'k')} FROM bars")
 oracle("composite_ranking", [IND, MONDAYS, FORCE, INSTR, _eligible("el", "sma_200", 0.0, "mondays"),
                              _sector_ok("sok", "el", "calc_date"),
                              "passing AS (SELECT * FROM sok WHERE sector_ok)", _ranked("rk", "passing")],
@@ -599,6 +620,7 @@ oracle("daily_ranking", [
     f"""SELECT '2002-01-01' AS calc_date, rank, ticker, {g('round(score, 4)', 3, 'score')},
   {g('round(mom_r2, 4)', 3, 'mom_r2')}, z1 AS zone, sector, macro, n_eligible,
   (SELECT count(DISTINCT ticker) FROM ind) AS n_total, {day('rk.calc_date', 'data_date')} FROM rk, regime WHERE rank <= 20""")
+ORACLES["ranking_stored_latest"] = ORACLES["daily_ranking"].replace("sector, macro, n_eligible", "sector, n_eligible")
 oracle("latest_ranking", PLAIN_RANK, f"""SELECT {day('calc_date')}, rank, ticker, {g('score')} FROM rk
   WHERE rank <= 2 AND rk.calc_date = (SELECT max(calc_date) FROM rk)""")
 oracle("ticker_snapshot", PLAIN_RANK + [INSTR], f"""SELECT i.ticker, {day('i.date', 'date')},
@@ -687,7 +709,9 @@ m2 AS (SELECT ticker, k, count(*) AS n_trades, coalesce(count(*) FILTER (r > 0)
       FROM taken t JOIN ex x USING (ticker, k, seq)) GROUP BY 1, 2),
 ms AS (SELECT *, sharpe >= 1.0 AS ok FROM m1 JOIN m2 USING (ticker, k))"""]
 recursive("signal_backtest", SWEEP, f"""SELECT ticker, k, {g('sharpe', 2)}, {g('total_return_pct', 4)},
-  {g('max_drawdown_pct', 4)}, n_trades, {g('win_rate_pct', 4)}, {g('avg_win_pct', 4)}, ok FROM ms""")
+  {g('max_drawdown_pct', 4)}, n_trades, {g('win_rate_pct', 4)}, {g('avg_win_pct', 4)}, ok, 'TESTED' AS outcome FROM ms""")
+oracle("backtest_admission", [SBARS, LAST], """SELECT ticker, count(*) AS n_days, count(*) >= 302 AS admitted FROM sbars, last_day
+  WHERE date >= d - 1400 AND adj_close > 0 GROUP BY 1""")
 recursive("best_k", SWEEP, f"""SELECT ticker, k AS best_k, {g('sharpe', 2, 'best_sharpe')} FROM ms
   QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ms.sharpe DESC, k) = 1""")
 recursive("k_sweep", SWEEP + [
@@ -914,7 +938,7 @@ def _summary(name: str, source: str, key: str) -> str:
     """Summaries line by line: first marker with any kept line."""
     return f"""{name} AS (
   SELECT {key}, arg_min(s, place) AS summary FROM (
-    SELECT {key}, place, substr(string_agg(line, ' ' ORDER BY i), 1, 500) AS s FROM (
+    SELECT {key}, place, string_agg(line, ' ' ORDER BY i) AS s FROM (
       SELECT *, min(CASE WHEN stop THEN i END) OVER (PARTITION BY {key}, place) AS cut FROM (
         SELECT {key}, place, i, trim(lines[i], {WS}) AS line, regexp_matches(trim(lines[i], {WS}),
             '^(ANALYSE|\\*\\*|POUR|CONTRE|CONCLUSION)') AS stop
@@ -929,7 +953,7 @@ oracle("extract_conviction", [TEXTS], f"""SELECT doc_id, coalesce({_stated('text
   {_stated('text')} IS NULL AS is_default FROM texts""")
 oracle("extract_event_risk", [TEXTS], f"SELECT doc_id, {_risk('text')} AS event_risk FROM texts")
 oracle("extract_summary", [TEXTS, _summary("sums", "texts", "doc_id")],
-       "SELECT doc_id, coalesce(summary, '') AS summary FROM texts LEFT JOIN sums USING (doc_id)")
+       "SELECT doc_id, coalesce(summary, '') AS summary, substr(coalesce(summary, ''), 1, 500) AS summary_shown FROM texts LEFT JOIN sums USING (doc_id)")
 oracle("extract_conversations", ["conv AS (SELECT conv_id * 100000 + turn AS key, * FROM conversations)",
                                  _summary("sums", "conv", "key")],
        f"""SELECT conv_id, turn, coalesce({_stated('text')}, 'MODÉRÉ') AS conviction, {_stated('text')} IS NULL AS is_default,
@@ -958,17 +982,17 @@ sec2 AS (SELECT *, CASE WHEN list_contains(expected, regexp_extract(head, '^([A-
         ltrim(regexp_replace(t, '\.(KS|KQ)', '', 'g'), '0')))[1]) END AS ticker FROM sec1),
 parsed AS (SELECT batch_id, ticker, arg_max(body, pos) AS text, min(pos) AS pos FROM sec2 WHERE ticker IS NOT NULL GROUP BY 1, 2),
 head AS (SELECT batch_id, expected, CASE WHEN regexp_matches(text, '(?ims)LECTURE DU LOT{GAP}{{0,10}}(.*?)[\n\r]+{GAP}{{0,5}}CLASSEMENT')
-      THEN substr(trim(regexp_extract(text, '(?is)LECTURE DU LOT{GAP}{{0,10}}(.*?)[\n\r]+{GAP}{{0,5}}CLASSEMENT', 1), {WS}), 1, 2000) END AS lot_reading,
+      THEN trim(regexp_extract(text, '(?is)LECTURE DU LOT{GAP}{{0,10}}(.*?)[\n\r]+{GAP}{{0,5}}CLASSEMENT', 1), {WS}) END AS lot_reading,
     CASE WHEN regexp_matches(text, '(?im)^{GAP}{{0,5}}CLASSEMENT{GAP}{{0,10}}([^\n]+)')
       THEN regexp_extract(text, '(?im)^{GAP}{{0,5}}CLASSEMENT{GAP}{{0,10}}([^\n]+)', 1) END AS line FROM lots),
-named AS (SELECT batch_id, list_distinct_ordered AS names, lot_reading, substr(trim(line, {WS}), 1, 200) AS order_line FROM (
+named AS (SELECT batch_id, list_distinct_ordered AS names, lot_reading, trim(line, {WS}) AS order_line FROM (
     SELECT *, list_filter(regexp_extract_all(upper(coalesce(line, '')), '[A-Z0-9][A-Z0-9.\-]{{0,14}}'),
       lambda t: list_contains(expected, t)) AS list_distinct_ordered FROM head))"""
 oracle("extract_sections", [PARSED, _summary("sums", "(SELECT *, batch_id || '/' || ticker AS key FROM parsed)", "key")],
        f"""SELECT p.batch_id, p.ticker, CASE WHEN len(names) > 0 THEN nullif(list_position(names, p.ticker), 0)
     ELSE row_number() OVER (PARTITION BY p.batch_id ORDER BY p.pos) END AS ai_rank,
   coalesce({_stated('p.text')}, 'MODÉRÉ') AS conviction, {_stated('p.text')} IS NULL AS is_default,
-  {_risk('p.text')} AS event_risk, coalesce(s.summary, '') AS summary, length(p.text) AS n_chars, lot_reading, order_line
+  {_risk('p.text')} AS event_risk, coalesce(s.summary, '') AS summary, length(p.text) AS n_chars, lot_reading, order_line, substr(lot_reading, 1, 2000) AS reading_shown, substr(order_line, 1, 200) AS order_shown
   FROM parsed p JOIN named n USING (batch_id) LEFT JOIN sums s ON s.key = p.batch_id || '/' || p.ticker""")
 oracle("parse_outcome", [PARSED, """got AS (SELECT batch_id, list(ticker) AS tickers FROM parsed GROUP BY 1),
 outcome AS (SELECT l.batch_id, coalesce(len(tickers), 0) AS n_parsed, len(expected) AS n_expected,
@@ -997,6 +1021,10 @@ rows1 AS (SELECT *, row_number() OVER (ORDER BY date, md5(ticker), ticker) - 1 A
     "SECTOR_COLUMNS, CASE WHEN regime = 'BULL' THEN 1.0 ELSE 0.0 END AS \"regime_BULL\", "
     "CASE WHEN regime = 'BEAR' THEN 1.0 ELSE 0.0 END AS \"regime_BEAR\", "
     "CASE WHEN regime = 'NEUTRE' THEN 1.0 ELSE 0.0 END AS \"regime_NEUTRE\" FROM rows1 r")
+ORACLES["ml_folds"] = ORACLES["ml_dataset"][: ORACLES["ml_dataset"].index("SELECT ticker, CAST(date AS VARCHAR) AS date, idx, ")] + f"""SELECT fold, n - (5 - fold) * (n // 6) AS n_train,
+  n // 6 AS n_test, count(*) FILTER (idx < n - (5 - fold) * (n // 6)) AS trained, count(*) FILTER (idx >= n - (5 - fold) * (n // 6)) AS tested,
+  {day('max(date) FILTER (idx < n - (5 - fold) * (n // 6))', 'train_until')}, {day('min(date) FILTER (idx >= n - (5 - fold) * (n // 6))', 'test_from')},
+  {day('max(date)', 'test_until')} FROM rows1, (SELECT unnest(range(5)) AS fold) f WHERE idx < n - (5 - fold) * (n // 6) + n // 6 GROUP BY fold, n"""
 ORACLES["ml_dataset"] = ORACLES["ml_dataset"].replace("SECTOR_COLUMNS", ", ".join(
     f"CASE WHEN coalesce(sector, 'INCONNU') = '{s}' THEN 1.0 ELSE 0.0 END AS \"sector_{s.replace(' ', '_')}\""
     for s in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST", "INCONNU")))

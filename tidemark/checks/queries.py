@@ -163,7 +163,24 @@ def valid_history_bars(spark, d):
 
 @query
 def incremental_slice(spark, d):
-    return L.incremental_slice(V.bars(spark, d), last_day(spark, d)).select("ticker", "date", "close")
+    path = new_path(spark, "bars")
+    ST.create_table(V.bars(spark, d), path)
+    # Of the stored table, months before the slice are pruned.
+    return L.incremental_slice(spark.read.parquet(path), last_day(spark, d)).select("ticker", "date", "close")
+
+
+@query
+def landed_files(spark, d):
+    """Bars that arrive as CSV under the vendor's headers, and as JSON: both become the engine's table."""
+    vendor = V.bars(spark, d).select(F.col("ticker"), *[F.col(a).alias(b) for a, b in (
+        ("date", "Date"), ("open", "Open"), ("high", "High"), ("low", "Low"), ("close", "Close"), ("volume", "Volume"))])
+    csv, json = new_path(spark, "landed-csv"), new_path(spark, "landed-json")
+    even = F.day("Date") % 2 == 0
+    vendor.where(even).write.option("header", True).csv(csv)
+    vendor.where(~even).write.json(json)
+    layout = "ticker string, Date date, Open double, High double, Low double, Close double, Volume double"
+    rows = L.landed_bars(L.read_table(spark, csv, layout, "csv", header="true"))
+    return rows.unionByName(L.landed_bars(L.read_table(spark, json, layout, "json")))
 
 
 # ---- sinks ----------------------------------------------------------------------------------
@@ -292,6 +309,32 @@ def instrument_search(spark, d):
     return POS.search_instruments(V.instruments(spark, d), "r 1")
 
 
+@query
+def instrument_search_indexed(spark, d):
+    path = new_path(spark, "grams")
+    POS.index_instruments(V.instruments(spark, d), path)
+    return POS.search_indexed(spark, path, "r 1").unionByName(POS.search_indexed(spark, path, "brand#23"))
+
+
+def ledger_columns(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "ticker", "portfolio_id", "buy_date", "sell_date", "invested", "result", "result_pct", "status")
+
+
+@query
+def positions_list_all(spark, d):
+    return ledger_columns(POS.list_positions(V.positions(spark, d)))
+
+
+@query
+def positions_list_open(spark, d):
+    return ledger_columns(POS.list_positions(V.positions(spark, d), "open"))
+
+
+@query
+def positions_of_portfolio(spark, d):
+    return ledger_columns(POS.list_positions(V.positions(spark, d), "closed", 7))
+
+
 @query
 def positions_list(spark, d):
     return POS.list_positions(V.positions(spark, d), "closed").select(
@@ -321,6 +364,24 @@ def opinion_of_ticker(spark, d):
     return O.select_opinions(o, ticker="brand#7").select("week", "ticker", "type", "conviction")
 
 
+def middle_week(spark, d) -> dt.date:
+    """Week half-way through the opinions, by its place among the weeks."""
+    weeks = V.opinions(spark, d).select("week").distinct()
+    place = weeks.withColumn("_p", F.percent_rank().over(Window.orderBy("week")))
+    return place.where("_p >= 0.5").agg(F.min("week")).first()[0]
+
+
+@query
+def opinions_of_week(spark, d):
+    return O.select_opinions(V.opinions(spark, d), week=middle_week(spark, d)).select("week", "ticker", "type", "rank", "conviction")
+
+
+@query
+def opinions_of_week_ticker(spark, d):
+    o = V.opinions(spark, d).withColumn("ticker", F.upper("ticker"))
+    return O.select_opinions(o, week=middle_week(spark, d), ticker="brand#7").select("week", "ticker", "type", "rank", "conviction")
+
+
 @query
 def opinion_latest7d(spark, d):
     o = V.opinions(spark, d)
@@ -552,7 +613,8 @@ def exit_reason_stats(spark, d):
 @query
 def trade_measures(spark, d):
     return M.trade_measures(closed_trades(spark, d), ["ticker"]).select(
-        "ticker", "n_trades", grid("win_rate_pct", 4).alias("win_rate_pct"),
+        "ticker", "n_trades", grid("win_rate_pct", 4).alias("win_rate_pct"), grid("avg_win_pct", 2).alias("avg_win_pct"),
+        grid("avg_loss_pct", 2).alias("avg_loss_pct"), grid("profit_factor", 4).alias("profit_factor"),
         grid("avg_duration_days", 4).alias("avg_duration_days"))
 
 
@@ -727,6 +789,21 @@ def analysis_incremental(spark, d):
     return analysis_columns(A.analysis(V.bars(spark, d), V.instruments(spark, d), last_day(spark, d)))
 
 
+@query
+def nightly_analysis(spark, d):
+    """Stored indicators, those of the last forty days missing; the nightly job fills in the newest days."""
+    day = last_day(spark, d)
+    bars_table, table = new_path(spark, "bars"), new_path(spark, "indicators")
+    bars = V.bars(spark, d)
+    ST.create_table(bars, bars_table)
+    late = F.col("date") > F.lit(day - dt.timedelta(days=40))
+    ST.create_table(A.indicators(bars).select("ticker", "date", *[F.when(~late, F.col(c)).alias(c) for c in A.INDICATORS]), table)
+    A.nightly(spark, bars_table, table, day)
+    return spark.read.parquet(table).select(
+        "ticker", "date", grid("rsi_14").alias("rsi_14"), grid("sma_200", 4).alias("sma_200"),
+        grid("vol_ratio").alias("vol_ratio"), grid("atr_14", 3).alias("atr_14"), "regime")
+
+
 @query
 def ranking_indicators(spark, d):
     return ind(spark, d).select(
@@ -738,7 +815,7 @@ def ranking_indicators(spark, d):
 @query
 def adaptive_k(spark, d):
     return V.bars(spark, d).select("ticker", "date", grid(X.adaptive_k(
-        F.col("high") - F.col("low"), F.col("close")), 1).alias("k"))
+        F.col("high") - F.col("low"), F.col("close")), 2).alias("k"))
 
 
 @query
@@ -771,6 +848,20 @@ def daily_ranking(spark, d):
         "zone", "sector", flat.alias("macro"), "n_eligible", "n_total", "data_date")
 
 
+@query
+def ranking_stored_latest(spark, d):
+    """The day's ranking stored in place of an earlier run, beside an older day, and read back from the listing."""
+    path = new_path(spark, "rankings")
+    rows = stage(RK.daily_ranking(V.bars(spark, d), V.instruments(spark, d), force(spark, d), macro(spark, d),
+                                  dt.date(2002, 1, 1)), "daily")
+    RK.store_ranking(rows.withColumn("calc_date", F.lit(dt.date(2001, 12, 31))), path)
+    RK.store_ranking(rows.withColumn("rank", F.col("rank") + 100), path)
+    RK.store_ranking(rows, path)
+    return RK.newest_stored(spark, path).select(
+        "calc_date", "rank", "ticker", grid("score", 3).alias("score"), grid("mom_r2", 3).alias("mom_r2"),
+        "zone", "sector", "n_eligible", "n_total", "data_date")
+
+
 @query
 def latest_ranking(spark, d):
     return RK.latest_ranking(stored_ranking(spark, d), 2).select(
@@ -842,9 +933,7 @@ def signal_outcomes(spark, d):
 
 
 def sweep(spark, d) -> DataFrame:
-    rows = stage(breakout_rows(spark, d), "rows")
-    trades = SG.signal_trades(stage(SG.exits_by_k(rows), "exits"))
-    return SG.sweep_measures(rows, trades)
+    return SG.backtest(breakout_rows(spark, d))
 
 
 @query
@@ -852,7 +941,14 @@ def signal_backtest(spark, d):
     return sweep(spark, d).select(
         "ticker", "k", grid("sharpe", 2).alias("sharpe"), grid("total_return_pct", 4).alias("total_return_pct"),
         grid("max_drawdown_pct", 4).alias("max_drawdown_pct"), "n_trades",
-        grid("win_rate_pct", 4).alias("win_rate_pct"), grid("avg_win_pct", 4).alias("avg_win_pct"), "ok")
+        grid("win_rate_pct", 4).alias("win_rate_pct"), grid("avg_win_pct", 4).alias("avg_win_pct"), "ok", "outcome")
+
+
+@query
+def backtest_admission(spark, d):
+    """Suppliers' histories of the last 1,400 days: those under 302 rows are refused."""
+    recent = V.supplier_bars(spark, d).where(F.col("date") >= F.lit(last_day(spark, d) - dt.timedelta(days=1400)))
+    return SG.admitted(L.valid_bars(recent))
 
 
 @query
@@ -961,9 +1057,10 @@ def last_opinion(spark, d):
 
 @query
 def extract_sections(spark, d):
-    return O.extract_batch_opinions(V.opinion_batches(spark, d), display=True).select(
+    return O.extract_batch_opinions(V.opinion_batches(spark, d)).select(
         "batch_id", "ticker", "ai_rank", "conviction", "is_default", "event_risk", "summary",
-        F.length("text").alias("n_chars"), "lot_reading", "order_line")
+        F.length("text").alias("n_chars"), "lot_reading", "order_line",
+        F.substring("lot_reading", 1, TX.READING_LENGTH).alias("reading_shown"), F.substring("order_line", 1, TX.ORDER_LENGTH).alias("order_shown"))
 
 
 @query
@@ -1003,13 +1100,14 @@ def extract_event_risk(spark, d):
 
 @query
 def extract_summary(spark, d):
-    return opinion_texts(spark, d).select("doc_id", TX.summary(F.col("text"), TX.SUMMARY_LENGTH).alias("summary"))
+    return opinion_texts(spark, d).select("doc_id", TX.summary(F.col("text")).alias("summary"),
+                                          TX.summary(F.col("text"), TX.SUMMARY_LENGTH).alias("summary_shown"))
 
 
 @query
 def extract_conversations(spark, d):
     c = V.table(spark, d, "conversations")
-    return O.extract_fields(c, display=True).select("conv_id", "turn", "conviction", "is_default", "event_risk", "summary")
+    return O.extract_fields(c).select("conv_id", "turn", "conviction", "is_default", "event_risk", "summary")
 
 
 # ---- learning -------------------------------------------------------------------------------
@@ -1043,6 +1141,32 @@ def ml_dataset(spark, d):
         *[c for c in data.columns if c.startswith(("sector_", "regime_"))])
 
 
+@query
+def ml_folds(spark, d):
+    """Rows that each fold trains on and is tested on, and their newest and oldest days."""
+    data = stage(learning_set(spark, d).select("idx", "n", "date"), "training")
+    n = data.agg(F.max("n")).first()[0]
+    folds = [F.when(F.col("idx") < start + size, F.struct(F.lit(fold).alias("fold"), F.lit(start).alias("n_train"), F.lit(size).alias("n_test")))
+             for fold, start, size in ML.fold_bounds(n)]
+    met = data.select("idx", "date", F.inline(F.array_compact(F.array(*folds))))
+    early = F.col("idx") < F.col("n_train")
+    return met.groupBy("fold", "n_train", "n_test").agg(
+        F.count_if(early).alias("trained"), F.count_if(~early).alias("tested"),
+        F.max(F.when(early, F.col("date"))).alias("train_until"), F.min(F.when(~early, F.col("date"))).alias("test_from"),
+        F.max("date").alias("test_until"))
+
+
+@query
+def ml_published(spark, d):
+    """Trained over time, published, loaded again and used: scores of all newest rows beside the version's precision and alarm."""
+    path = new_path(spark, "models")
+    sectors = ML.known_sectors(V.instruments(spark, d))
+    ML.save(ML.train(learning_set(spark, d), sectors), path)
+    model, columns, known = ML.load(path)
+    current = ML.registry(path).select("version", "accuracy", "reliable", "alarm")
+    return ML.score(scoring_rows(spark, d), model, columns, known).join(F.broadcast(current))
+
+
 @query
 def ml_cv(spark, d):
     return ML.cross_validate(stage(learning_set(spark, d), "training"))

@@ -36,13 +36,13 @@ DEFAULT_MAX_POSITIONS = 10
 
 # Countries served by European sector funds.
 EU_COUNTRIES = (
-    "Austria", "Belgium", "Denmark", "Finland", "France", "Germany", "Ireland", "Italy",
-    "Luxembourg", "Netherlands", "Norway", "Portugal", "Spain", "Sweden", "Switzerland",
-    "United Kingdom",
+    "Belgium", "France", "Germany", "Netherlands", "Italy", "Spain",
+    "Switzerland", "Sweden", "Denmark", "Finland", "Norway", "Austria",
+    "Portugal", "Ireland", "Luxembourg", "United Kingdom",
 )
 
 # Quote currency by ticker suffix.
-SUFFIX_CURRENCY = {".KS": "KRW", ".KQ": "KRW", ".ST": "SEK", ".SW": "CHF"}
+SUFFIX_CURRENCY = {".KS": "KRW", ".KQ": "KRW", ".SW": "CHF", ".ST": "SEK"}
 
 # Macro index of each zone.
 ZONE_INDEX = {"US": "^GSPC", "EU": "^STOXX", "KR": "^KS11"}
@@ -53,11 +53,15 @@ SOURCES = ("ranking", "manuel")
 SELL_REASONS = (
     "TRAILING_STOP", "TREND_BROKEN", "MOMENTUM_LOST", "SECTOR_WEAK", "MACRO_BEARISH", "MANUEL",
 )
-DECISIONS = ("SUGGESTION", "REJETÉ_ML", "REJETÉ_NLP", "IGNORÉ")
 RANKING_CONVICTIONS = ("FORT", "MODÉRÉ", "FAIBLE")
 POSITION_CONVICTIONS = ("GARDER", "RENFORCER", "VENDRE")
 HORIZON_DAYS = {"1w": 7, "2w": 14, "4w": 28}
 
+# Stored status and notes of a parsed batch of opinions.
+BATCH_FAILED, BATCH_DONE = "ERREUR", "TERMINÉ"
+NOTE_NONE = ("parse: 0/", " section exploitable")
+NOTE_PARTIAL = ("partiel : ", "/", " — manquants : ")
+
 # Seed list of sector funds (ticker, name, sector, zone, index).
 SEED_SECTOR_ETFS = (
     ("XLK", "Technology Select Sector SPDR", "Technology", "US", "^GSPC"),

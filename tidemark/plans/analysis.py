@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark import constants as C
 from tidemark.functions import indicators as I
-from tidemark.operators.upsert import update_from
+from tidemark.operators.upsert import update_from, write_partitioned
+from tidemark.session import stage, staging
 from tidemark.sources import landed as L
 
 INDICATORS = ["rsi_14", "sma_200", "sma_50", "bb_lower", "bb_position", "vol_avg_20", "rsi_slope",
@@ -59,3 +60,17 @@ def write_back(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """Stored indicator rows updated from fresh ones by (ticker, date)."""
     return update_from(stored, fresh, ["ticker", "date"],
                        [c for c in INDICATORS if c in stored.columns])
+
+
+def nightly(spark: SparkSession, bars_table: str, indicator_table: str, as_of: dt.date) -> None:
+    """Recompute the newest days from a bounded slice and write them back, in one job over two or so months.
+
+    Both tables are partitioned by month; the months read and rewritten follow from ``as_of``, so neither table is scanned.
+    Rows that the indicator table does not hold are not added.
+    """
+    bars = L.incremental_slice(spark.read.parquet(bars_table), as_of)
+    fresh = L.rows_to_save(indicators(bars), as_of).select("ticker", "date", *INDICATORS)
+    first = as_of - dt.timedelta(days=C.SAVE_DAYS)
+    stored = spark.read.parquet(indicator_table).where(F.col("month") >= first.year * 100 + first.month)
+    with staging(spark):
+        write_partitioned(stage(write_back(stored, fresh), "nightly"), indicator_table, "month")

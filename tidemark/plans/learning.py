@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -144,16 +145,20 @@ def precision(predicted: DataFrame) -> DataFrame:
         F.lit(0.0)).alias("precision"))
 
 
+def fold_bounds(n: int, folds: int = FOLDS) -> list[tuple[int, int, int]]:
+    """Fold, rows to train on and rows to test on, which follow them: training grows by one block a fold."""
+    if n < MIN_ROWS:
+        raise ValueError(f"training needs {MIN_ROWS} rows, got {n}")
+    size = n // (folds + 1)
+    return [(fold, n - (folds - fold) * size, size) for fold in range(folds)]
+
+
 def cross_validate(data: DataFrame, folds: int = FOLDS) -> DataFrame:
     """Precision of each expanding fold: train on all earlier rows, test on the next block."""
     columns = feature_columns(data)
     n = data.agg(F.max("n")).first()[0]
-    if n is None or n < MIN_ROWS:
-        raise ValueError(f"training needs {MIN_ROWS} rows, got {n or 0}")
-    size = n // (folds + 1)
     parts = []
-    for fold in range(folds):
-        start = n - (folds - fold) * size
+    for fold, start, size in fold_bounds(n or 0, folds):
         model = fit(data.where(F.col("idx") < start), columns)
         test = data.where((F.col("idx") >= start) & (F.col("idx") < start + size))
         scored = model.transform(test.fillna(0.0, columns))
@@ -182,18 +187,36 @@ def train(data: DataFrame, sectors: list[str]) -> Trained:
     return Trained(fit(data, columns), columns, list(sectors), round(accuracy, 4), accuracy >= MIN_PRECISION)
 
 
+REGISTRY = "version long, model string, columns array<string>, sectors array<string>, accuracy double, reliable boolean, alarm string"
+
+
 def save(trained: Trained, path: str) -> None:
-    """Model directory with its columns, categories and accuracy beside it."""
-    trained.model.write().overwrite().save(f"{path}/model")
-    _active().createDataFrame([(trained.columns, trained.sectors, trained.accuracy)],
-                                             "columns array<string>, sectors array<string>, accuracy double") \
-        .coalesce(1).write.mode("overwrite").json(f"{path}/registry")
+    """Publish a model: it is written beside the earlier ones, then one registry row makes it the current one.
+
+    A reader finds the version before or the new one, never half of one. The row states the columns, categories and
+    precision, and an alarm where the precision is below what the scores are trusted at.
+    """
+    version = (registry(path).agg(F.max("version")).first()[0] or 0) + 1
+    model = f"model-{version}-{uuid.uuid4().hex}"
+    trained.model.write().save(f"{path}/{model}")
+    alarm = None if trained.reliable else f"precision {trained.accuracy:.4f} below {MIN_PRECISION}"
+    _active().createDataFrame([(version, model, trained.columns, trained.sectors, trained.accuracy, trained.reliable, alarm)], REGISTRY) \
+        .coalesce(1).write.mode("append").json(f"{path}/registry")
+
+
+def registry(path: str) -> DataFrame:
+    """Published versions: one row each."""
+    spark = _active()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/registry")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], REGISTRY)
+    return spark.read.schema(REGISTRY).json(f"{path}/registry")
 
 
 def load(path: str) -> tuple[PipelineModel, list[str], list[str]]:
-    """Model, feature columns and sector categories."""
-    row = _active().read.schema("columns array<string>, sectors array<string>").json(f"{path}/registry").first()
-    return PipelineModel.load(f"{path}/model"), list(row.columns), list(row.sectors)
+    """Current model, its feature columns and sector categories."""
+    row = registry(path).orderBy(F.col("version").desc(), F.col("model")).first()
+    return PipelineModel.load(f"{path}/{row.model}"), list(row.columns), list(row.sectors)
 
 
 def _active() -> SparkSession:

@@ -90,12 +90,12 @@ def parse_outcome(batches: DataFrame) -> DataFrame:
     missing = F.filter("expected", lambda t: ~F.array_contains("parsed", t))
     rows = rows.withColumns({"n_parsed": n, "n_expected": total, "missing": missing})
     note = F.when(F.col("n_parsed") == 0, F.concat(
-        F.lit("parse: 0/"), "n_expected", F.lit(" section exploitable"))).when(
-        F.size("missing") > 0, F.concat(F.lit("partiel : "), "n_parsed", F.lit("/"), "n_expected",
-                                        F.lit(" — manquants : "), F.array_join("missing", ", ")))
+        F.lit(C.NOTE_NONE[0]), "n_expected", F.lit(C.NOTE_NONE[1]))).when(
+        F.size("missing") > 0, F.concat(F.lit(C.NOTE_PARTIAL[0]), "n_parsed", F.lit(C.NOTE_PARTIAL[1]), "n_expected",
+                                        F.lit(C.NOTE_PARTIAL[2]), F.array_join("missing", ", ")))
     return rows.select(
         "batch_id", "n_parsed", "n_expected", "missing",
-        F.when(F.col("n_parsed") == 0, "ERREUR").otherwise("TERMINÉ").alias("status"),
+        F.when(F.col("n_parsed") == 0, C.BATCH_FAILED).otherwise(C.BATCH_DONE).alias("status"),
         note.alias("note"))
 
 

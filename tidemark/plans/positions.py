@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import zlib
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark import constants as C
 from tidemark.functions import scalars as X
 from tidemark.functions.envelope import LEVELS_SCHEMA, suffix_levels
 from tidemark.operators.asof import asof_join, join_daily, last_known, latest_per_key
+from tidemark.operators.upsert import write_partitioned
 from tidemark.plans import context, ranking
 from tidemark.session import stage
 from tidemark.shipping import ship_package
@@ -35,6 +37,43 @@ def search_instruments(instruments: DataFrame, query: str = "", limit: int | Non
         F.coalesce("sector", F.lit("—")).alias("sector"))
 
 
+GRAM, GRAM_BUCKETS = 3, 64
+
+
+def _grams(text: Column) -> Column:
+    """Distinct runs of three characters."""
+    return F.array_distinct(F.when(F.length(text) >= GRAM, F.transform(
+        F.sequence(F.lit(1), F.length(text) - GRAM + 1), lambda i: F.substring(text, i, F.lit(GRAM)))).otherwise(F.array().cast("array<string>")))
+
+
+def _gram_bucket(gram: Column) -> Column:
+    return F.pmod(F.crc32(gram.cast("binary")), F.lit(GRAM_BUCKETS)).cast("int")
+
+
+def index_instruments(instruments: DataFrame, path: str) -> None:
+    """Trigram index of tickers and names: a row per gram and instrument, with what a search shows, in buckets of grams."""
+    rows = instruments.select("ticker", "name", "sector").where("ticker IS NOT NULL")
+    texts = F.array_distinct(F.concat(_grams(F.upper("ticker")), _grams(F.upper(F.coalesce("name", F.lit(""))))))
+    posted = rows.select(F.explode(texts).alias("gram"), "*")
+    write_partitioned(posted.withColumn("bucket", _gram_bucket(F.col("gram"))), path, "bucket")
+
+
+def search_indexed(spark: SparkSession, path: str, query: str, limit: int | None = None) -> DataFrame:
+    """``search_instruments`` through the index: only the buckets of the query's grams are read.
+
+    An instrument must be in the postings of all grams; its text then confirms the match. The query needs three characters.
+    """
+    text = query.strip().upper()
+    if len(text) < GRAM:
+        raise ValueError(f"a search by the index needs {GRAM} characters, got {text!r}")
+    grams = list(dict.fromkeys(text[i : i + GRAM] for i in range(len(text) - GRAM + 1)))
+    buckets = sorted({zlib.crc32(g.encode()) % GRAM_BUCKETS for g in grams})
+    posted = spark.read.schema("gram string, ticker string, name string, sector string, bucket int").parquet(path) \
+        .where(F.col("bucket").isin(buckets) & F.col("gram").isin(grams))
+    both = posted.groupBy("ticker", "name", "sector").agg(F.count_distinct("gram").alias("_n")).where(F.col("_n") == len(grams))
+    return search_instruments(both.drop("_n"), query, limit)
+
+
 def with_amounts(positions: DataFrame) -> DataFrame:
     """Derived ledger columns: invested amount and realised result."""
     buy, sell, quantity = F.col("buy_price"), F.col("sell_price"), F.col("quantity")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark import constants as C
 from tidemark.functions import indicators as I, scalars as X
 from tidemark.operators.asof import asof_priority, latest_per_key
 from tidemark.operators.ranking import min_max_scale, ranked_by_score, top_per_group
+from tidemark.operators.upsert import replace_day
 from tidemark.plans import context
 from tidemark.session import stage
 from tidemark.sources import landed as L
@@ -148,6 +149,31 @@ def daily_ranking(bars: DataFrame, instruments: DataFrame, force: DataFrame,
         F.col("calc_date").alias("data_date"))
 
 
+#: Layout of a stored daily ranking; its day is the folder's name.
+STORED = ("rank int, ticker string, score double, mom_r2 double, rvol double, obv_slope double, price double, sma_value double, atr_14 double, "
+          "k double, zone string, sector string, macro map<string,boolean>, n_eligible int, n_total int, data_date date, calc_date date")
+
+
+def store_ranking(rows: DataFrame, path: str) -> None:
+    """Replace the stored rankings of the days in ``rows``."""
+    replace_day(rows, path, "calc_date")
+
+
+def newest_stored(spark: SparkSession, path: str, top_n: int = 20) -> DataFrame:
+    """Best rows of the newest stored day, which the folder's listing tells: one small folder is read, nothing is scanned.
+
+    An empty table, or one that does not exist, has no rows.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    listed = files.listStatus(folder) if files.exists(folder) else []
+    days = [name for x in listed if (name := x.getPath().getName()).startswith("calc_date=")]
+    if not days:
+        return spark.createDataFrame([], STORED)
+    rows = spark.read.schema(STORED).option("basePath", path).parquet(f"{path}/{max(days)}")
+    return rows.orderBy("rank").limit(top_n)
+
+
 def latest_ranking(rankings: DataFrame, top_n: int = 20) -> DataFrame:
     """Best rows of the newest stored ranking day."""
     newest = rankings.agg(F.max("calc_date").alias("calc_date"))

@@ -66,11 +66,24 @@ def signals(bars: DataFrame, instruments: DataFrame | None = None,
         "signal", F.coalesce("_kept", F.lit(False))).select(*rows.columns, "signal")
 
 
+def admitted(rows: DataFrame, min_rows: int = C.BACKTEST_WARMUP) -> DataFrame:
+    """Per ticker: its number of rows and whether they suffice for a backtest."""
+    return rows.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_days")).withColumn("admitted", F.col("n_days") >= min_rows)
+
+
 def long_enough(rows: DataFrame, min_rows: int = C.BACKTEST_WARMUP) -> DataFrame:
     """Rows of tickers with enough history for a backtest."""
-    enough = rows.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_days")) \
-        .where(F.col("n_days") >= min_rows).select("ticker")
-    return rows.join(enough, "ticker", "left_semi")
+    return rows.join(admitted(rows, min_rows).where("admitted"), "ticker", "left_semi")
+
+
+def backtest(rows: DataFrame, ks=C.K_SWEEP, min_rows: int = C.BACKTEST_WARMUP) -> DataFrame:
+    """Sweep of the tickers with enough history; a refused ticker is one row that says so, without measures."""
+    rows = stage(rows, "rows")
+    enough = long_enough(rows, min_rows)
+    trades = signal_trades(stage(exits_by_k(enough, ks), "exits"))
+    refused = admitted(rows, min_rows).where("NOT admitted").select("ticker", "n_days", F.lit("REFUSED").alias("outcome"))
+    measured = sweep_measures(enough, trades, ks).withColumn("outcome", F.lit("TESTED"))
+    return measured.unionByName(refused, allowMissingColumns=True).drop("n_days")
 
 
 def exits_by_k(rows: DataFrame, ks=C.K_SWEEP) -> DataFrame:

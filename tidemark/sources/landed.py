@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark import constants as C, schemas as S
 from tidemark.functions import indicators as I
+from tidemark.operators.upsert import insert_absent
 
 VENDOR_NAMES = {
     "Date": "date", "Open": "open", "High": "high", "Low": "low", "Close": "close",
@@ -65,6 +66,12 @@ def landed_instruments(raw: DataFrame, as_of: dt.date | Column) -> DataFrame:
         .withColumn("updated", stamp), S.INSTRUMENTS)
 
 
+def with_seed_funds(funds: DataFrame) -> DataFrame:
+    """Sector funds with those of the seed list that are not there yet."""
+    seeds = funds.sparkSession.createDataFrame([(*row, True) for row in C.SEED_SECTOR_ETFS], S.SECTOR_ETF)
+    return insert_absent(funds, seeds, ["ticker_etf"])
+
+
 def universe(instruments: DataFrame, bars: DataFrame, only: list[str] | None = None) -> DataFrame:
     """Declared and already collected tickers, or the given ones."""
     if only:
@@ -103,10 +110,17 @@ def bars_with_history(bars: DataFrame, min_rows: int = C.MIN_HISTORY,
         .where(F.col("_n") >= min_rows).drop("_n")
 
 
+def since(rows: DataFrame, day: dt.date) -> DataFrame:
+    """Rows from a day on; of a table partitioned by month, earlier months are not listed at all."""
+    if "month" in rows.columns:
+        rows = rows.where(F.col("month") >= day.year * 100 + day.month)
+    return rows.where(F.col("date") >= F.lit(day))
+
+
 def incremental_slice(bars: DataFrame, as_of: dt.date, lookback: int = C.LOOKBACK_DAYS) -> DataFrame:
     """History needed to recompute the newest rows."""
-    return bars.where(F.col("date") >= F.lit(as_of - dt.timedelta(days=lookback)))
+    return since(bars, as_of - dt.timedelta(days=lookback))
 
 
 def rows_to_save(rows: DataFrame, as_of: dt.date, days: int = C.SAVE_DAYS) -> DataFrame:
-    return rows.where(F.col("date") >= F.lit(as_of - dt.timedelta(days=days)))
+    return since(rows, as_of - dt.timedelta(days=days))
