@@ -32,7 +32,9 @@ def main() -> None:
     V.supplier_bars(spark, sf_dir).write.parquet(stored)
     bars = spark.read.parquet(stored)
     report = new_path(spark, "report")
-    RK.score_candidates(RK.ranking_indicators(bars), bars.agg(F.max("date").alias("date"))).write.parquet(report)
+    best = RK.score_candidates(RK.ranking_indicators(bars), bars.agg(F.max("date").alias("date")))
+    RK.store_ranking(spark.createDataFrame([], RK.STORED).unionByName(
+        best.select("rank", "ticker", "score", "calc_date"), allowMissingColumns=True), report)
     names = [r.ticker for r in bars.select("ticker").distinct().orderBy("ticker").limit(5).collect()]
 
     def full_ranking():
@@ -49,7 +51,7 @@ def main() -> None:
         "weekly_ranking_all_mondays": weekly_ranking,
         "analysis_indicators_all": lambda: A.indicators(bars),
         "one_ticker_indicators": lambda: RK.ranking_indicators(bars.where(F.col("ticker") == names[0])),
-        "read_stored_ranking": lambda: spark.read.parquet(report).orderBy("rank").limit(20),
+        "read_stored_ranking": lambda: RK.newest_stored(spark, report),
         **{name: (lambda name=name: QUERIES[name](spark, sf_dir)) for name in (
             "upsert_bars", "asof_fx", "asof_tolerance", "sector_strength", "composite_ranking", "signals_v35",
             "chandelier_exits", "signal_backtest", "exit_check", "config_compare", "position_eval",

@@ -43,7 +43,8 @@ def test_nightly_updates_the_newest_days_only(spark, tmp_path):
     assert after.count() == empty.count() - 2 and after.where(F.col("date") < since).where("sma_50 IS NOT NULL").count() == 0
     assert late.where("ticker = 'A' AND sma_50 IS NULL").count() == 0 and late.where("ticker = 'A'").count() > 2
     assert late.where("ticker = 'B' AND sma_50 IS NOT NULL").count() == 0  # fewer than 50 rows
-    want = A.indicators(L.incremental_slice(b, day)).where(F.col("date") >= since).select(*after.drop("month").columns)
+    want = A.indicators(L.incremental_slice(b, day)).where(F.col("date") >= since) \
+        .where("date != DATE'2021-02-23'").select(*after.drop("month").columns)
     assert rows(late.drop("month"), "ticker", "date") == rows(want, "ticker", "date")
     assert len(files & set(after.inputFiles())) >= len(files) - 2  # older months stay untouched
 
