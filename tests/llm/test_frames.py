@@ -1,3 +1,4 @@
+import random
 import io
 import os
 import zlib
@@ -83,3 +84,24 @@ def test_table(spark):
     found = read_documents(f"{os.path.join(folder, shard.file)}", [7, 12345])
     assert {len(x) for x in found[7]} == {len(encode(t)) for k, t, *_ in rows if k == 7} and found[12345] == []
     assert write_shards(docs.limit(0), TOKENIZER, new_path(spark, "tokens"), 3).count() == 0
+
+
+def test_pieces_encoded_together_and_a_cache_that_turns_over():
+    from tokenizers import Tokenizer
+
+    import public_tokenizers as tokenizers
+    from tidemark.llm import frames
+
+    path = tokenizers.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = True
+    frames._cache.cache_clear()
+    cache, _ = frames._cache(path)
+    cache.limit = 400
+    r = random.Random(1)
+    parts = ["a", "foo", "Bär", "日本", " ", "  ", "\n", "\t", "　", "\xa0", "\x1c", "\x85", "<|endoftext|>", "don't", "x1", "!!", "'s", "\r\n", "é", " q"]
+    for _ in range(100):
+        texts = ["".join(r.choice(parts) + (" " if r.random() < 0.5 else "") for _ in range(r.randint(0, 30))) for _ in range(20)]
+        texts.append(" ".join(f"w{r.randrange(10**6)}" for _ in range(200)))
+        assert [x.tolist() for x in cache.ids([t.encode() for t in texts])] == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+    frames._cache.cache_clear()

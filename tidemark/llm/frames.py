@@ -42,6 +42,8 @@ CHECKSUMS = 0x80
 
 LEVEL = 3
 ENCODE_BYTES = 8 << 20
+#: Pieces that are encoded as one text.
+JOINED_PIECES = 4096
 
 
 class ShardWriter:
@@ -122,13 +124,34 @@ def _cache(path: str) -> tuple[PieceCache, int]:
     own = Tokenizer.from_file(path)
     own.encode_special_tokens = True  # their strings in a text are ordinary text
 
+    # A token of a byte-level vocabulary is written with one character per byte.
+    n_bytes = np.zeros(own.get_vocab_size(), np.int64)
+    for token, i in own.get_vocab().items():
+        n_bytes[i] = len(token)
+
+    def joined(pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces that begin with a space before and end with a visible character: encoded as one text, whose
+        ids are theirs one after another; the lengths of the tokens tell where each piece ends."""
+        found = own.encode_batch_fast([b"".join(pieces).decode()], add_special_tokens=False)[0]
+        ids = np.array(found.ids, "<u4")
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        token_ends = np.cumsum(n_bytes[ids])
+        stop = np.searchsorted(token_ends, ends) + 1
+        if (token_ends[stop - 1] != ends).any():
+            raise ValueError("the vocabulary is not byte-level: its tokens cross spaces")
+        raw, stop = ids.tobytes(), (4 * stop).tolist()
+        return [raw[a:b] for a, b in zip([0, *stop], stop)]
+
+    def together(pieces: list[bytes]) -> list[bytes]:
+        return [x for a in range(0, len(pieces), JOINED_PIECES) for x in joined(pieces[a : a + JOINED_PIECES])]
+
     def encode(pieces: list[str]) -> list[bytes]:
         out = []
         for a in range(0, len(pieces), 10_000):
             out += [array.array("I", e.ids).tobytes() for e in own.encode_batch_fast(pieces[a : a + 10_000], add_special_tokens=False)]
         return out
 
-    return PieceCache(encode), own.get_vocab_size()
+    return PieceCache(encode, together=together), own.get_vocab_size()
 
 
 _MANIFEST = "shard int, file string, n_docs long, n_tokens long"

@@ -28,20 +28,35 @@ _BLANK[32] = True
 class PieceCache:
     """Ids of pieces as little-endian unsigned 32-bit integers, kept for at most ``limit`` pieces.
 
-    ``encode`` gets distinct pieces and gives the bytes of the ids of each. The limit bounds memory
-    only: a full cache starts anew, results do not depend on it.
+    ``encode`` gets distinct pieces and gives the bytes of the ids of each; ``together``, if given, gets those that begin
+    with a space before a visible character and end with one, which are the same one after another. The limit bounds memory
+    only, results do not depend on it: when half of it is reached, pieces not seen since the last time go and the others stay.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 1_000_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 1_000_000,
+                 together: Callable[[list[bytes]], list[bytes]] | None = None):
+        self.encode, self.limit, self.together = encode, limit, together
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
-    def _ids_of(self, pieces: list[bytes]) -> list[bytes]:
-        if len(self.known) > self.limit:
-            self.known = {}
-        if new := [x for x in dict.fromkeys(pieces) if x not in self.known]:
-            self.known.update(zip(new, self.encode([x.decode() for x in new])))
-        return [self.known[x] for x in pieces]
+    def _ids_of(self, pieces: list[bytes], plain: bool = False) -> list[bytes]:
+        if 2 * len(self.known) > self.limit:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        asked = [x for x in (pieces if plain else dict.fromkeys(pieces)) if x not in known]
+        new = []
+        for x in asked:
+            if (kept := before.get(x)) is None:
+                new.append(x)
+            else:
+                known[x] = kept
+        if plain and self.together:
+            inside = [x for x in new if x[0] == 32 and x[-1] != 10]
+            known.update(zip(inside, self.together(inside)))
+            new = [x for x in new if x[0] != 32 or x[-1] == 10]
+        if new:
+            known.update(zip(new, self.encode([x.decode() for x in new])))
+        return [known[x] for x in pieces]
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of every text."""
@@ -65,7 +80,7 @@ class PieceCache:
         raw, starts, ends = words.raw, words.start[at], words.end[at]
         # All but the opening piece of a text begin with the space before them.
         pieces = [raw[a:b] for a, b in zip((starts - leads[at]).tolist(), ends.tolist())]
-        ids = self._ids_of(pieces)
+        ids = self._ids_of(list(pieces), True)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), "<u4")
         begins = np.cumsum(sizes) - sizes
