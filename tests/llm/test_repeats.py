@@ -157,3 +157,52 @@ def test_periodic_bytes_of_one_document(spark):
     want = plain_bytes(rows)
     assert sum(x[2] for x in want) > 0
     assert sorted(map(tuple, byte_windows(docs).collect())) == want
+
+
+def test_many_phrases_of_one_key(monkeypatch):
+    """Phrases around one common passage: parsed a bounded number of bytes at a time, with the windows of all pairs."""
+    from tidemark.llm import pfp
+
+    r = random.Random(9)
+    some = lambda k: "".join(r.choices(["th", "er", "on", "an", "re", " ", "é"], k=k)).encode()
+    common, copies = some(30), [some(120) for _ in range(9)]
+    content = [some(r.randint(50, 90)) + common + (some(90) if i % 3 else r.choice(copies)[: r.randint(150, 200)]) for i in range(300)]
+    content += [b"q" * 300, b"q" * 299, b"ab" * 400, content[0][1:], common + copies[0]]
+    content = [x for x in dict.fromkeys(content) if len(x) >= 200]
+    n = np.array([len(x) - 199 for x in content])
+    places = np.where(np.arange(len(n)) % 50 == 7, 2, 1)
+    count = {}
+    for x in content:
+        for s in range(len(x) - 199):
+            count[x[s : s + 200]] = count.get(x[s : s + 200], 0) + 1
+    want = [[s for s in range(m) if p > 1 or count[x[s : s + 200]] > 1] for x, m, p in zip(content, n.tolist(), places.tolist())]
+    sizes = []
+
+    class Seen(pfp.Parse):
+        def __init__(self, texts):
+            sizes.append(sum(map(len, texts)))
+            super().__init__(texts)
+
+    monkeypatch.setattr(pfp, "Parse", Seen)
+    monkeypatch.setattr(pfp, "PARSE_BYTES", 1 << 13)
+    got = pfp.shared_windows(content, n, np.zeros_like(n), np.zeros_like(n), places)
+    assert [x.tolist() for x in got] == want and sum(map(len, want)) > 500
+    assert len(sizes) > 5 and max(sizes) <= 1 << 14
+    monkeypatch.setattr(pfp, "PARTINGS", 0)
+    assert [x.tolist() for x in pfp.shared_windows(content, n, np.zeros_like(n), np.zeros_like(n), places)] == want
+
+
+def test_keys_over_several_batches(spark):
+    """Many phrases of one key come in several batches and stay one shard."""
+    r = random.Random(4)
+    some = lambda k: "".join(r.choices("abcdefgh ", k=k))
+    common, copies = some(80), [some(150) for _ in range(20)]
+    rows = [(i, some(r.randint(100, 160)) + common + (some(120) if i % 4 else r.choice(copies))) for i in range(400)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        assert sorted(map(tuple, byte_windows(docs).collect())) == plain_bytes(rows)
+        assert sorted(map(tuple, word_windows(docs).collect())) == plain_words(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.repeats import POWERS, Units, covered, repeated_stretches, with_removed
-from tidemark.llm.words import mix, ragged
+from tidemark.llm.words import blocks, mix, ragged
 
 WINDOW_BYTES = 200
 GRAM_BYTES = 24
@@ -16,6 +16,9 @@ GRAM_BYTES = 24
 TRIGGER_BYTES = 8
 #: One place in so many triggers a phrase.
 TRIGGER_EVERY = 32
+#: Bytes of phrases parsed together: a task holds some hundred times as much while it sorts them. Phrases of one key beyond that are
+#: parted by other grams of their windows, so many times at most. No result depends on it.
+PARSE_BYTES, PARTINGS = 1 << 19, 8
 
 _ROLL = np.uint64(0xA24BAED4963EE407)
 
@@ -129,16 +132,71 @@ class Parse:
 def shared_windows(content: list[bytes], n: np.ndarray, doc: np.ndarray, start: np.ndarray, places: np.ndarray,
                    size: int = WINDOW_BYTES) -> list[np.ndarray]:
     """Offsets of each phrase's windows that occur twice among the phrases, or in a phrase of several places."""
+    begin = np.cumsum(n) - n
+    twice = _twice_among(content, n, size)
+    out = []
+    for at, windows, several in zip(begin.tolist(), n.tolist(), (places > 1).tolist()):
+        out.append(np.arange(windows) if several else np.flatnonzero(twice[at : at + windows]))
+    return out
+
+
+def _parsed(content: list[bytes], n: np.ndarray, size: int) -> np.ndarray:
+    """Whether each window of the phrases, one phrase after another, occurs twice among them; by one parse."""
     parse = Parse(content)
-    ordered = parse.order(ragged(parse.begin, n), size)
+    places = ragged(parse.begin, n)
+    ordered = parse.order(places, size)
     twice = np.zeros(len(parse.raw), bool)
     value = parse.window_hashes(size)[ordered]
     equal = value[1:] == value[:-1]
     twice[ordered[1:][equal]] = True
     twice[ordered[:-1][equal]] = True
-    out = []
-    for begin, windows, several in zip(parse.begin.tolist(), n.tolist(), (places > 1).tolist()):
-        out.append(np.arange(windows) if several else np.flatnonzero(twice[begin : begin + windows]))
+    return twice[places]
+
+
+def _twice_among(content: list[bytes], n: np.ndarray, size: int, parting: int = 0) -> np.ndarray:
+    """As ``_parsed``, a bounded number of bytes at a time.
+
+    Windows of too many phrases are dealt by the smallest of their grams in an order of its own for every parting: equal windows
+    have it in common and so meet, and what they meet in is parsed, or parted again. Parts of equal content are one phrase, all
+    windows of which occur twice. What does not part after PARTINGS is parsed whole.
+    """
+    total = sum(map(len, content))
+    if total <= 2 * PARSE_BYTES or parting == PARTINGS or size < GRAM_BYTES:
+        return _parsed(content, n, size)
+    units = Units("bytes", size, GRAM_BYTES)
+    fields = ("text", "start", "n", "key")
+    found = []
+    for part in blocks(content, 1 << 17):
+        cut = units.stretches(content[part], parting + 1)
+        found.append([cut["text"] + part.start, *(cut[f] for f in fields[1:])])
+    text, start, count, key = map(np.concatenate, zip(*found))
+    # A text has no window beyond its phrase's.
+    order = np.argsort(key, kind="stable")
+    text, start, count, key = text[order], start[order], count[order], key[order]
+    bounds = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+    sizes = np.append(0, np.cumsum(count + size - 1))
+    offset = np.cumsum(n) - n
+    out = np.zeros(int(n.sum()), bool)
+    begin = 0
+    for i in range(1, len(bounds)):
+        stop = int(bounds[i])
+        # Whole keys together, as long as the next one fits.
+        if i < len(bounds) - 1 and sizes[bounds[i + 1]] - sizes[begin] <= PARSE_BYTES:
+            continue
+        number: dict[bytes, int] = {}
+        which = np.empty(stop - begin, np.int64)
+        for j, (t, s, c) in enumerate(zip(text[begin:stop].tolist(), start[begin:stop].tolist(), count[begin:stop].tolist())):
+            which[j] = number.setdefault(content[t][s : s + c + size - 1], len(number))
+        own = list(number)
+        windows = np.fromiter(map(len, own), np.int64, len(own)) - size + 1
+        # A single key is parted again, several together are small.
+        twice = _twice_among(own, windows, size, parting + 1)
+        head = np.cumsum(windows) - windows
+        held = np.bincount(which, minlength=len(own))
+        several = np.repeat(held > 1, windows)
+        at = ragged(offset[text[begin:stop]] + start[begin:stop], count[begin:stop])
+        out[at] = (twice | several)[ragged(head[which], count[begin:stop])]
+        begin = stop
     return out
 
 
@@ -158,7 +216,7 @@ def byte_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", with_
     repeat one lose the strings found under it, rows without a key lose nothing. Missing and empty texts
     have no bytes. Other columns are ignored; an empty table gives an empty result.
     """
-    units = Units("bytes", WINDOW_BYTES, GRAM_BYTES)
+    units = Units("bytes", WINDOW_BYTES, GRAM_BYTES, PARSE_BYTES)
     removed = repeated_stretches(docs, units, shared_windows, False, key, text)
     out = with_removed(docs, removed, _finish, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", key, text)
     return out if with_bytes else out.drop("kept")

@@ -27,7 +27,7 @@ from tidemark.shipping import ship_package
 BLOCK_BYTES = {"words": 1 << 17, "bytes": 1 << 15}
 #: Windows of a stretch at most; a longer one (periodic text) is continued as another stretch.
 LONGEST = 1024
-#: Bytes of phrases indexed together; a key with more phrases than that makes a larger shard of its own.
+#: Bytes of phrases indexed together, if the units do not say otherwise; a key with more phrases than that makes a larger shard of its own.
 SHARD_BYTES = 2 << 20
 
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -79,6 +79,7 @@ class Units:
     kind: str  # "words" or "bytes"
     size: int
     gram: int
+    shard: int = SHARD_BYTES
 
     @property
     def self_repeats(self) -> int:
@@ -106,12 +107,14 @@ class Units:
         out *= _ODD
         return out, first, last
 
-    def stretches(self, texts: list[bytes]) -> dict[str, np.ndarray]:
+    def stretches(self, texts: list[bytes], salt: int = 0) -> dict[str, np.ndarray]:
         """Text number, first window, number of windows, key and content hash of all stretches.
 
-        ``twice`` marks those with their smallest gram in two places: only they may hold the same window twice.
+        Another ``salt`` makes another gram the smallest. ``twice`` marks those with their smallest gram in two places: only they may hold the same window twice.
         """
         values, first, last = self.hashes(texts)
+        if salt:
+            values = mix(values ^ stream(salt, 1))
         empty = np.zeros(0, np.int64)
         least = window_min(values, self.self_repeats) if len(values) >= self.self_repeats else empty
         # A new stretch begins where the key changes and at every text; windows across texts count for nothing.
@@ -240,23 +243,30 @@ def repeated_stretches(docs: DataFrame, units: Units, kernel: Kernel, keep_first
                  pa.array(spans, out.field("lost").type)], schema=out)
 
         def shards() -> Iterator[pa.Table]:
-            """Whole keys, of about SHARD_BYTES together."""
-            size = 0
+            """Whole keys, of about a shard's bytes together."""
+            size, one = 0, None
             for batch in batches:
+                if not len(batch):
+                    continue
+                one = batch.column("key")[0].as_py() if not held else one
                 held.append(batch)
                 size += batch.column("content").nbytes
-                if size > SHARD_BYTES:
+                # While there is one key alone, nothing can be cut off.
+                if size > units.shard and batch.column("key")[len(batch) - 1].as_py() != one:
                     table = pa.Table.from_batches(held)
+                    held.clear()
                     keys = table.column("key").to_numpy()
-                    sizes = np.cumsum(np.fromiter((len(x) for x in table.column("content").to_pylist()), np.int64, len(keys)))
+                    sizes = np.cumsum(pc.binary_length(table.column("content")).to_numpy().astype(np.int64))
                     starts = np.append(0, np.flatnonzero(keys[1:] != keys[:-1]) + 1)
                     begin = 0
                     for cut in starts[1:].tolist():
-                        if sizes[cut - 1] - (sizes[begin - 1] if begin else 0) >= SHARD_BYTES or cut == starts[-1]:
+                        if sizes[cut - 1] - (sizes[begin - 1] if begin else 0) >= units.shard or cut == starts[-1]:
                             yield table.slice(begin, cut - begin)
                             begin = cut
                     held[:] = table.slice(begin).combine_chunks().to_batches()
+                    one = keys[begin]
                     size = sum(x.column("content").nbytes for x in held)
+                    del table
             if held:
                 yield pa.Table.from_batches(held)
 
